@@ -1,0 +1,8 @@
+"""Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors get the operators' functions with each job and need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

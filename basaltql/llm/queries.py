@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basaltql.llm import oracle_sql
 from basaltql.llm.sharding import shard_documents
+from basaltql.llm.warc import read_records, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,14 @@ def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round trip: archives are written, then every record is read back through the index."""
+    return read_records(write_archives(_table(spark, sf_dir, "pages"))).drop("payload")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jump_sharding": op4_jump_sharding,
+    "op7_warc_index": op7_warc_index,
 }
 
 ORACLE: dict[str, str] = {
