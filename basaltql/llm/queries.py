@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from basaltql.llm import oracle_sql
+from basaltql.llm.quality import quality_verdicts
 from basaltql.llm.sharding import shard_documents
+from basaltql.llm.toxicity import fit_severity, score_severity
 from basaltql.llm.warc import read_records, write_archives
 
 
@@ -19,14 +21,25 @@ def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip: archives are written, then every record is read back through the index."""
     return read_records(write_archives(_table(spark, sf_dir, "pages"))).drop("payload")
 
 
+def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_severity(docs, fit_severity(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jump_sharding": op4_jump_sharding,
+    "op6_compression_bands": op6_compression_bands,
     "op7_warc_index": op7_warc_index,
+    "op10_ordinal_toxicity": op10_ordinal_toxicity,
 }
 
 ORACLE: dict[str, str] = {
