@@ -23,7 +23,9 @@ from basaltql.llm.common import written
 TRAIN_ROWS = 20_000
 #: Bound of the features kept, those most associated with the label.
 MAX_FEATURES = 8_192
-PREFIXES = (4, 5, 6)
+#: Least chi-square of a feature (about 5e-4 by chance).
+MIN_CHI = 12.0
+PREFIXES = (3, 4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
 
@@ -48,7 +50,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - np.array(self.thresholds), -40, 40)))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, l2: float = 1e-3, steps: int = 400):
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray, n_features: int, l2: float = 1e-4, steps: int = 1200):
     """Weights and thresholds that maximise the penalised likelihood, by Adam on the full batch.
 
     (rows, cols): the set features, sparse. The thresholds are theta_1 and logs of positive gaps, so
@@ -106,8 +108,8 @@ def fit_severity(
 ) -> OrdinalModel:
     """Fit the model on a bounded sample of labelled rows.
 
-    ``label`` may hold grades 0..K-1. Where it is binary, documents labelled 1 are graded 1 or 2: 2 where the
-    share of their words that carry a positively associated feature is above the median of such documents.
+    ``label`` may hold grades 0..K-1. Where it is binary, documents labelled 1 are graded 1 or 2: 2 where they
+    have more positively associated features than the median of such documents.
     Without positive labels the model finds nothing. Feature counts are summed on the executors;
     the driver gets the ``max_features`` with the largest chi-square and the sample's set features.
     """
@@ -136,24 +138,21 @@ def fit_severity(
     counted = counted.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos")).where(F.col("n") >= min_docs)
     a, b, expected = F.col("n_pos"), F.col("n"), F.col("n") * F.lit(p / n)
     chi = (a - expected) * (a - expected) / expected
-    best = counted.select("feature", (a > expected).alias("up"), chi.alias("chi"), b.alias("n")).where("chi > 6.6")
+    best = counted.select("feature", (a > expected).alias("up"), chi.alias("chi"), b.alias("n")).where(F.col("chi") > MIN_CHI)
     best = best.orderBy(F.desc("chi"), "feature").limit(max_features).collect()
     index = {r["feature"]: i for i, r in enumerate(best)}
-    strong = {r["feature"] for r in best if r["up"] and r["chi"] > 30}
+    strong = {r["feature"] for r in best if r["up"]}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, heat, grades = [], [], batch.column(2).to_pylist()
-            for body in batch.column(1).to_pylist():
-                found = words(body)
-                features = {w: word_features(w) for w in found}
-                sets.append(sorted({index[f] for fs in features.values() for f in fs if f in index}))
-                heat.append(sum(any(f in strong for f in fs) for fs in features.values()) / max(1, len(found)))
+            found = [{f for w in words(body) for f in word_features(w) if f in index} for body in batch.column(1).to_pylist()]
+            sets = [sorted(index[f] for f in fs) for fs in found]
+            heat = [len(fs & strong) for fs in found]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sets, pa.list_(pa.int32())), pa.array(heat, pa.float64()), pa.array(grades, pa.int32())], names=["f", "heat", "grade"]
+                [pa.array(sets, pa.list_(pa.int32())), pa.array(heat, pa.int32()), batch.column(2)], names=["f", "heat", "grade"]
             )
 
-    coded = sample.select("doc_id", "text", "grade").mapInArrow(encode, "f array<int>, heat double, grade int").collect()
+    coded = sample.select("doc_id", "text", "grade").mapInArrow(encode, "f array<int>, heat int, grade int").collect()
     grades = np.array([r["grade"] for r in coded], dtype=np.int64)
     if sums["top"] == 1:
         heat = np.array([r["heat"] for r in coded])
