@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from basaltql.llm import oracle_sql
+from basaltql.llm.html_extract import extract_main_text
 from basaltql.llm.quality import quality_verdicts
 from basaltql.llm.sharding import shard_documents
 from basaltql.llm.toxicity import fit_severity, score_severity
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
@@ -36,6 +41,7 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_page_differencing": op1_page_differencing,
     "op4_jump_sharding": op4_jump_sharding,
     "op6_compression_bands": op6_compression_bands,
     "op7_warc_index": op7_warc_index,
