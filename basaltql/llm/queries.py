@@ -10,6 +10,7 @@ from basaltql.llm import oracle_sql
 from basaltql.llm.html_extract import extract_main_text
 from basaltql.llm.quality import quality_verdicts
 from basaltql.llm.sharding import shard_documents
+from basaltql.llm.simhash import near_duplicates
 from basaltql.llm.toxicity import fit_severity, score_severity
 from basaltql.llm.warc import read_records, write_archives
 
@@ -22,6 +23,10 @@ def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op2_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
@@ -42,6 +47,7 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_differencing": op1_page_differencing,
+    "op2_pivot_simhash": op2_pivot_simhash,
     "op4_jump_sharding": op4_jump_sharding,
     "op6_compression_bands": op6_compression_bands,
     "op7_warc_index": op7_warc_index,
