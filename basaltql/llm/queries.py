@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from basaltql.llm import oracle_sql
+from basaltql.llm.decontaminate import contamination
 from basaltql.llm.html_extract import extract_main_text
 from basaltql.llm.quality import quality_verdicts
 from basaltql.llm.sharding import shard_documents
@@ -27,6 +28,10 @@ def op2_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
 
+def op3_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+
+
 def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
@@ -48,6 +53,7 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_page_differencing": op1_page_differencing,
     "op2_pivot_simhash": op2_pivot_simhash,
+    "op3_positional_index": op3_positional_index,
     "op4_jump_sharding": op4_jump_sharding,
     "op6_compression_bands": op6_compression_bands,
     "op7_warc_index": op7_warc_index,
@@ -55,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_positional_index": oracle_sql.OP3,
     "op4_jump_sharding": oracle_sql.OP4,
 }
