@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from basaltql.llm import oracle_sql
 from basaltql.llm.decontaminate import contamination
 from basaltql.llm.html_extract import extract_main_text
+from basaltql.llm.packing import pack
 from basaltql.llm.quality import quality_verdicts
 from basaltql.llm.sharding import shard_documents
 from basaltql.llm.simhash import near_duplicates
@@ -45,6 +46,10 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_archives(_table(spark, sf_dir, "pages"))).drop("payload")
 
 
+def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), window=1024)
+
+
 def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return score_severity(docs, fit_severity(docs, _table(spark, sf_dir, "labels")))
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jump_sharding": op4_jump_sharding,
     "op6_compression_bands": op6_compression_bands,
     "op7_warc_index": op7_warc_index,
+    "op9_nnls_packing": op9_nnls_packing,
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
 }
 
