@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from basaltql.llm import oracle_sql
+from basaltql.llm.attribution import attribute_tokens
 from basaltql.llm.decontaminate import contamination
 from basaltql.llm.html_extract import extract_main_text
 from basaltql.llm.packing import pack
@@ -46,6 +47,11 @@ def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_archives(_table(spark, sf_dir, "pages"))).drop("payload")
 
 
+def op8_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token goes to the line of its first character."""
+    return attribute_tokens(_table(spark, sf_dir, "documents"), fields=("text",), rule="first")
+
+
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), window=1024)
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jump_sharding": op4_jump_sharding,
     "op6_compression_bands": op6_compression_bands,
     "op7_warc_index": op7_warc_index,
+    "op8_offset_attribution": op8_offset_attribution,
     "op9_nnls_packing": op9_nnls_packing,
     "op10_ordinal_toxicity": op10_ordinal_toxicity,
 }
