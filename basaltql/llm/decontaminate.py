@@ -136,6 +136,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without the keys of contaminated ones. Rows of null key stay, as nothing names them."""
+    read = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    hit = contamination(read, items, window).where("contaminated AND doc_id IS NOT NULL")
+    hit = written(hit.select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
+    return docs.join(small(hit), F.col(key) == F.col("_hit"), "left_anti")
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, slack: int = 3, least: int = 8) -> DataFrame:
     """(doc_id, item_id, n_matched): items of which at least ``least`` distinct words stand within ``slack`` places of one diagonal.
 

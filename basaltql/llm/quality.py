@@ -8,6 +8,7 @@ the count of such documents; classes without any take wide default bands.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -161,3 +162,35 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
         kept.alias("kept"),
         *["ratio", "chunk_max", "chunk_min"],
     )
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``quality_verdicts`` keeps.
+
+    The bands (at most two rows an octave of length) travel with the function that measures and filters, so
+    that no text is shuffled.
+    """
+    fitted = fit_bands(written(measures(docs, key, text), "measures"), labels.where(F.col("quality") == 1)).collect()
+    bands = {r["length_class"]: (r["low"], r["high"]) for r in fitted}
+    chunk = next(((r["chunk_low"], r["chunk_high"]) for r in fitted), (None, None))
+    column = docs.columns.index(text)
+
+    def inside(x, limits) -> bool:
+        low, high = limits
+        return x is None or (DEFAULT_LOW if low is None else low) <= x <= (DEFAULT_HIGH if high is None else high)
+
+    def stays(body: str | None, compressor) -> bool:
+        _, n, _, _, _, repeated, size, ratio, top, bottom = measure(None, body, compressor)
+        if n < MIN_WORDS or repeated * 100 > n * MAX_REPEAT_PERCENT:
+            return False
+        band = bands.get(math.floor(math.log2(max(size, 1)) * 2), (None, None))
+        return inside(ratio, band) and inside(top, chunk) and inside(bottom, chunk)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compressor = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield batch.filter(pa.array([stays(t.as_py(), compressor) for t in batch.column(column)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

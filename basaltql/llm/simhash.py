@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basaltql.llm.common import written
+from basaltql.llm.common import small, written
 from basaltql.llm.components import components
 
 SEED = 42
-#: Chance candidates a fingerprint that the choice of blocks aims at.
-CHANCE_CANDIDATES = 4.0
+#: Cost of comparing one chance candidate, in units of dealing a fingerprint to one more bucket family.
+CANDIDATE_COST = 0.1
 #: Fingerprints before it in a bucket that a fingerprint is first linked with.
 CHAIN = 4
 _PIVOTS = 16
@@ -67,12 +67,18 @@ def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text: str =
 
 
 def block_masks(radius: int, count: int) -> list[int]:
-    """Bit masks of the bucket families: all sets of m - radius of m blocks; m is the least that keeps chance candidates few."""
-    for m in range(radius + 1, 64):
-        exact = m - radius
-        bits = 64 * exact // m
-        if count * comb(m, exact) / 2.0**bits <= CHANCE_CANDIDATES or m >= radius + 6:
-            break
+    """Bit masks of the bucket families: all sets of m - radius of m blocks.
+
+    Any m is exact. More blocks mean more families to deal to and fewer chance candidates in each bucket; the m with
+    the least of both for ``count`` fingerprints is taken.
+    """
+
+    def cost(m: int) -> float:
+        families = comb(m, radius)
+        return families * (1 + CANDIDATE_COST * count / 2.0 ** (64 * (m - radius) // m))
+
+    m = min(range(radius + 1, radius + 7), key=cost)
+    exact = m - radius
     cuts = [64 * i // m for i in range(m + 1)]
     blocks = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(m)]
     return [sum(chosen) for chosen in combinations(blocks, exact)]
@@ -183,3 +189,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, key: str
     smallest = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = written(roots.join(smallest, "root").select("fp", "component_id"), "components")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without near-duplicates: of each component the row of the smallest key stays, once.
+
+    Rows that share a key are one document. Rows of null key stay, as nothing names them. The narrow list
+    of removed keys is joined, not the texts regrouped.
+    """
+    named = written(near_duplicates(docs, shingle, radius, key, text).where("doc_id IS NOT NULL"), "named")
+    by_id = named.groupBy("doc_id").agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("_stays"), F.count("*").alias("_n"))
+    by_id = written(by_id, "by_id").withColumnRenamed("doc_id", "_id")
+    on = F.col(key) == F.col("_id")
+    gone = by_id.where("_stays = 0").select("_id")
+    kept = docs.join(small(gone), on, "left_anti")
+    again = by_id.where("_stays = 1 AND _n > 1").select("_id")
+    if again.isEmpty():
+        return kept
+    return kept.join(small(again), on, "left_anti").unionByName(kept.join(small(again), on, "left_semi").dropDuplicates([key]))

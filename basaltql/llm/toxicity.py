@@ -163,6 +163,41 @@ def fit_severity(
     return OrdinalModel({f: float(w[i]) for f, i in index.items()}, tuple(float(t) for t in theta))
 
 
+def _scores(model: OrdinalModel):
+    """Function from texts to linear scores, with a memory of its words' features."""
+    weights, cache = model.weights, {}
+
+    def score(bodies) -> np.ndarray:
+        out = np.zeros(len(bodies))
+        for i, body in enumerate(bodies):
+            active: set[str] = set()
+            for word in words(body.as_py()):
+                known = cache.get(word)
+                if known is None:
+                    known = tuple(f for f in word_features(word) if f in weights)
+                    if len(cache) >= _CACHE:
+                        cache.clear()
+                    cache[word] = known
+                if known:
+                    active.update(known)
+            out[i] = sum(weights[f] for f in sorted(active))
+        return out
+
+    return score
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that ``score_severity`` does not call toxic."""
+    column = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scores(model)
+        for batch in batches:
+            yield batch.filter(pa.array(model.at_least(score(batch.column(column)))[:, 0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_severity(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``docs``: doc_id, expected_severity, grade (the most probable one), p_toxic, toxic (p_toxic >= 0.5).
 
@@ -171,21 +206,9 @@ def score_severity(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, cache = model.weights, {}
+        score = _scores(model)
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for i, body in enumerate(batch.column(1)):
-                active: set[str] = set()
-                for word in words(body.as_py()):
-                    known = cache.get(word)
-                    if known is None:
-                        known = tuple(f for f in word_features(word) if f in weights)
-                        if len(cache) >= _CACHE:
-                            cache.clear()
-                        cache[word] = known
-                    if known:
-                        active.update(known)
-                scores[i] = sum(weights[f] for f in sorted(active))
+            scores = score(batch.column(1))
             above = model.at_least(scores)
             chance = np.hstack([np.ones((len(scores), 1)), above]) - np.hstack([above, np.zeros((len(scores), 1))])
             yield pa.RecordBatch.from_arrays(
