@@ -10,6 +10,7 @@ from basaltql.llm import oracle_sql
 from basaltql.llm.attribution import attribute_tokens
 from basaltql.llm.decontaminate import contamination
 from basaltql.llm.html_extract import extract_main_text
+from basaltql.llm.langid import fit_languages, predict_languages
 from basaltql.llm.packing import pack
 from basaltql.llm.quality import quality_verdicts
 from basaltql.llm.sharding import shard_documents
@@ -38,6 +39,11 @@ def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return predict_languages(docs, fit_languages(docs))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivot_simhash": op2_pivot_simhash,
     "op3_positional_index": op3_positional_index,
     "op4_jump_sharding": op4_jump_sharding,
+    "op5_language_bitmask": op5_language_bitmask,
     "op6_compression_bands": op6_compression_bands,
     "op7_warc_index": op7_warc_index,
     "op8_offset_attribution": op8_offset_attribution,
