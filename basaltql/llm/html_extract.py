@@ -6,8 +6,8 @@ neighbours by longest common subsequence, and shared lines are deleted: menus, n
 repeat from page to page, articles do not.
 
 Two things modify plain differencing, because the corpora repeat passages and whole articles: lines inside
-the page's own article element are never deleted for being shared, and a neighbour that shares most
-of that article proves nothing and is passed over. Blocks that the markup itself declares to be
+the page's own article element are never deleted for being shared, and a neighbour that shares nearly
+all of the page proves nothing and is passed over. Blocks that the markup itself declares to be
 menus, adverts, forms, comments and so on are deleted whether or not a neighbour shares them.
 """
 
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Nearest pages on either side that a page is held against.
 NEIGHBOURS = 3
+#: Share of a page's characters beyond which a neighbour that has them too is a copy of the page.
+COPY_SHARE = 0.9
 #: Bits of alignment rows held at once; larger alignments are halved.
 _ALIGN_BITS = 1 << 28
 
@@ -252,7 +254,7 @@ def _main_text(page: _Page, near: list[_Page]) -> str:
     shared = [False] * len(texts)
     for other in near:
         theirs = {x for x, _, _ in other.lines}
-        if sum(len(x) for x in own if x in theirs) > 0.5 * weight and (has_main or len(texts) > 1):
+        if sum(len(x) for x in own if x in theirs) > COPY_SHARE * weight:
             continue  # a copy of the page: sharing with it tells nothing about menus
         for i, hit in enumerate(lcs_marks(texts, [x for x, _, _ in other.lines])):
             shared[i] |= hit
