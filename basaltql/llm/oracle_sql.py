@@ -22,17 +22,28 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
-OP4 = """
-WITH RECURSIVE crc_table AS (
-  SELECT list_transform(range(256), lambda i: list_reduce(range(8),
-         lambda c, n: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS t
-), body AS (
+
+
+def _crc_nibbles() -> list[int]:
+    """CRC-32 of each half byte (reflected polynomial 0xEDB88320)."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    return table
+
+
+_CRC_NIBBLES = _crc_nibbles()
+
+OP4 = f"""
+WITH RECURSIVE body AS (
   SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), sized AS (
   SELECT doc_id, length(h) // 2 + 1 AS size,
-         xor(list_reduce(list_transform(range(1, length(h), 2), lambda p: ('0x' || substring(h, p, 2))::BIGINT),
-             lambda acc, b: xor(acc >> 8, t[(xor(acc, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
-  FROM body, crc_table
+         xor(list_reduce(list_transform(list_filter(string_split(regexp_replace(h, '(.)(.)', '\\2\\1', 'g'), ''), lambda d: d <> ''), lambda d: ('0x' || d)::BIGINT),
+             lambda acc, d: xor(acc >> 4, {_CRC_NIBBLES}[(xor(acc, d) & 15) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+  FROM body
 ), jump(doc_id, k, b, j, n) AS (
   SELECT d.doc_id, CASE WHEN d.doc_id < 0 THEN d.doc_id::HUGEINT + 18446744073709551616::HUGEINT
                         ELSE coalesce(d.doc_id, 0)::HUGEINT END, 0::BIGINT, 0::BIGINT, s.n
@@ -49,3 +60,15 @@ SELECT s.doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INTEGER
        grown_shard::INTEGER AS grown_shard
 FROM sized s JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id
 """
+
+# Base32 of the SHA-1 digest: five hex digits are four letters.
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS response FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substring(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM r
+"""

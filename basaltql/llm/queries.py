@@ -83,4 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op3_positional_index": oracle_sql.OP3,
     "op4_jump_sharding": oracle_sql.OP4,
+    "op7_warc_index": oracle_sql.OP7,
 }
