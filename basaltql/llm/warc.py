@@ -179,9 +179,11 @@ def read_records(
     payload_bytes and payload_digest are of the full payload, for revisits as well; payload is null
     unless asked for, and for revisits. Each response is held against its digest; damage is an error.
     """
+    regions = index.select("file", "offset", "length", F.expr(f"offset div {region_bytes}").alias("region"))
+    # Index rows are tiny beside the bytes they point at: a task a region, which size-based coalescing would undo.
+    tasks = max(1, regions.select("file", "region").distinct().count())
     wanted = (
-        index.select("file", "offset", "length", F.expr(f"offset div {region_bytes}").alias("region"))
-        .repartition("file", "region")
+        regions.repartition(min(tasks, 100_000), "file", "region")
         .sortWithinPartitions("file", "offset")
     )
 
