@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, key: str
     rows = written(fingerprints(docs, shingle, key, text), "fingerprints")
     points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
     roots = written(points.join(linked_fingerprints(points, radius), "fp"), "roots")
-    smallest = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
+    smallest = written(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
     named = written(roots.join(smallest, "root").select("fp", "component_id"), "components")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
