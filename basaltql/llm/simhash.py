@@ -27,7 +27,7 @@ from basaltql.llm.components import components
 
 SEED = 42
 #: Cost of comparing one chance candidate, in units of dealing a fingerprint to one more bucket family.
-CANDIDATE_COST = 0.1
+CANDIDATE_COST = 0.3
 #: Fingerprints before it in a bucket that a fingerprint is first linked with.
 CHAIN = 4
 _PIVOTS = 16
