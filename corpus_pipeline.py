@@ -12,7 +12,7 @@ from basaltql.llm.common import written
 from basaltql.llm.decontaminate import drop_contaminated
 from basaltql.llm.packing import pack
 from basaltql.llm.quality import drop_low_quality
-from basaltql.llm.simhash import one_of_each
+from basaltql.llm.similar import one_of_similar
 from basaltql.llm.toxicity import drop_toxic, fit_severity
 
 
@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash over five-word shingles; fingerprints link at 6 or fewer bits, which texts of similarity 0.8 and more reach."""
-    return one_of_each(docs, shingle=5, radius=6)
+    """Texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more are linked, each link verified; one of a component stays."""
+    return one_of_similar(docs, shingle=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
