@@ -74,10 +74,10 @@ def measure(doc_id, text: str | None, compressor) -> tuple:
     words = raw.split()  # splits bytes at exactly \\x20 and \\x09-\\x0D
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     ratio = len(raw) / len(compressor.compress(raw)) if raw else None
-    chunks = [
-        CHUNK_BYTES / len(compressor.compress(raw[i : i + CHUNK_BYTES]))
-        for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)
-    ]
+    starts = list(range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES))
+    if starts and len(raw) % CHUNK_BYTES:
+        starts.append(len(raw) - CHUNK_BYTES)  # the last bytes, in a full chunk that overlaps the one before
+    chunks = [CHUNK_BYTES / len(compressor.compress(raw[i : i + CHUNK_BYTES])) for i in starts]
     low_high = (max(chunks), min(chunks)) if chunks else (None, None)
     symbols = len(_SYMBOLS.findall(text))
     return (doc_id, len(words), chars, symbols, dup_lines(text), repeat_words(words), len(raw), ratio, *low_high)
@@ -143,8 +143,8 @@ def base_failed():
 def quality_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``docs`` with its measures, base_failed and kept.
 
-    kept: not base_failed, the whole ratio inside its length class's band, and every full chunk of 4096
-    bytes inside the chunk band. Null or empty text: zero counts, base_failed. Repeated rows are judged
+    kept: not base_failed, the whole ratio inside its length class's band, and every chunk of 4096
+    bytes inside the chunk band; the last chunk is the text's final 4096 bytes. Null or empty text: zero counts, base_failed. Repeated rows are judged
     alike; rows of ``labels`` (doc_id, quality) with quality 1 teach the bands, null labels teach nothing.
     Texts are read once; what is joined with labels is a narrow row a document.
     """
