@@ -31,7 +31,7 @@ _ALIGN_BITS = 1 << 28
 
 # Elements of HTML by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
+_RAW = frozenset("script style noscript template textarea title iframe svg canvas audio video select".split())
 _SKIP = frozenset("nav footer aside form button dialog menu head figure-ad".split()) | _RAW
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -46,6 +46,11 @@ _SKIP_NAMES = re.compile(
     r"cookie|cookies|consent|gdpr|notice|notices|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|"
     r"comment|comments|commentlist|disqus|respond|reply|replies|discussion|form|search|skip|hidden|copyright|legal|disclaimer|tags|tagcloud|site-header|page-header)(?:$|[-_ ])"
 )
+#: Inside the declared article only whole class names that cannot name a part of the text count, and no ids.
+_SKIP_CLASSES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsored promo navbar breadcrumb breadcrumbs pagination share sharing share-buttons "
+    "social social-share cookie-banner cookie-consent newsletter newsletter-signup paywall comments commentlist comment-list disqus".split()
+)
 _MAIN_NAMES = re.compile(r"(?:^|[-_ ])(?:article|articlebody|post|entry|main|maincontent|story|content)(?:$|[-_ ])")
 #: Names of a site's head and foot; inside the article they name its own parts.
 _SITE_NAMES = re.compile(r"(?:^|[-_ ])(?:header|head|top|bottom|logo|brand|branding|title-bar)(?:$|[-_ ])")
@@ -76,7 +81,10 @@ def _flags(tag: str, raw_attrs: str, in_main: bool) -> tuple[bool, bool]:
         if tag not in ("html", "body") and names.strip():
             declared = role == "main" or attrs.get("itemprop", "").lower() == "articlebody"
             if tag not in ("article", "main") and not declared:
-                skip = skip or bool(_SKIP_NAMES.search(names)) or bool(not in_main and _SITE_NAMES.search(names))
+                if in_main:
+                    skip = skip or not _SKIP_CLASSES.isdisjoint(attrs.get("class", "").lower().split())
+                else:
+                    skip = skip or bool(_SKIP_NAMES.search(names)) or bool(_SITE_NAMES.search(names))
                 declared = tag in ("div", "section", "td") and bool(_MAIN_NAMES.search(names))
             main = main or declared
         main = main or role in ("main", "article")
