@@ -48,25 +48,7 @@ def test_blocks_of_awkward_markup():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></ul></nav>
     <!-- c --><div class="ad">Buy</div><article><header><h1>Ti&amp;tle</h1></header><p><b>One  &lt;b&gt;<br><p>Two&nbsp;x</p><form><p>Sign</p></form><div class="comments"><p>Nice!</p></div>
     <p>Three</article><aside>Side</aside><footer>&copy; me</footer><p cut="""
-    assert [b[0] for b in html_extract.blocks(page) if b[1]] == ["Ti&tle", "One <b>", "Two x", "Three"]
-
-
-def test_differencing_without_declared_article(spark):
-    body = "<p>Menu of the site</p><p>Text number {0} says {0}.</p><p>All rights</p>"
-    rows = [(i, f"https://h.org/a/{i}", body.format(i), "c") for i in range(12)] + [(50, None, None, "c"), (51, "https://h.org/a/3", "", "c"), (3, "https://h.org/a/3", body.format(3), "c")]
-    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        want = "" if r["page_id"] >= 50 else f"Text number {r['page_id']} says {r['page_id']}."
-        assert r["text"] == want and r["n_chars"] == len(want)
-
-
-def test_articles_that_neighbours_share_stay(spark):
-    page = "<nav>n</nav><article><h1>Same</h1><p>All the same text</p></article>"
-    rows = [(i, f"http://h.org/{i}", page) for i in range(5)]
-    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r["text"] for r in got} == {"Same\nAll the same text"}
-    assert html_extract.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert [b.text for b in html_extract.blocks(page) if b.main] == ["Ti&tle", "One <b>", "Two x", "Three"]
 
 
 # op2
