@@ -461,8 +461,8 @@ def _differenced(ranked: DataFrame, neighbours: int) -> DataFrame:
         if done:
             yield emit(done)
 
-    reach = [F.floor((F.col("rank") + d) / BUCKET).cast("long") for d in (-REACH, 0, REACH)]
-    dealt = ranked.select("host", F.explode(F.array_distinct(F.array(*reach))).alias("bucket"), "rank", "digest", "lines").where("bucket >= 0")
+    low, high = (F.floor((F.col("rank") + d) / BUCKET).cast("long") for d in (-REACH, REACH))
+    dealt = ranked.select("host", F.explode(F.sequence(F.greatest(low, F.lit(0).cast("long")), high)).alias("bucket"), "rank", "digest", "lines")
     dealt = dealt.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "rank")
     return dealt.mapInArrow(run, "host string, digest long, shared binary, n int")
 
