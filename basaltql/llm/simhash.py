@@ -1,19 +1,19 @@
 """SimHash near-duplicates by pivot distance tables.
 
-A table holds each distinct fingerprint's Hamming distances to reference fingerprints. By the triangle
-inequality two fingerprints within ``radius`` differ by at most ``radius`` in every coordinate; pairs with
-a larger coordinate difference are discarded and the survivors verified.
-
-The references are of two kinds. Sixteen pseudo-random ones fill the table that pairs are tested with. The
-zero fingerprint and the 64 unit fingerprints give coordinates whose differences read off single bits,
-d(x, 0) - d(x, unit i) = 2 x_i - 1. Split into m blocks, at least m - radius of the blocks of a linked pair
-have coordinate difference 0; so pairs are only formed inside buckets of fingerprints that agree in the
-coordinates of some m - radius blocks. That makes the table search exact without comparing all pairs.
+The table holds Hamming distances of each distinct fingerprint to ``REFERENCES`` pseudo-random reference fingerprints
+(pivots), over all of its bits and over the bits of each of several families. By the triangle inequality two
+fingerprints that differ in k bits of a family differ by at most k in every coordinate over it. So:
+
+1. A family's bits are left alone by a linked pair in at least one family (``block_families``: all unions of m - radius of
+   m blocks, by pigeonhole). Its coordinates are then equal, and pairs are formed only among fingerprints whose
+   coordinates over some family agree: those share a bucket. No linked pair is lost.
+2. Of these, pairs whose distances over all bits differ by more than the radius in any coordinate are discarded.
+3. The survivors are verified by their differing bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -26,12 +26,23 @@ from basaltql.llm.common import small, written
 from basaltql.llm.components import components
 
 SEED = 42
-#: Cost of comparing one chance candidate, in units of dealing a fingerprint to one more bucket family.
-CANDIDATE_COST = 0.3
-#: Fingerprints before it in a bucket that a fingerprint is first linked with.
-CHAIN = 4
-_PIVOTS = 16
+REFERENCES = 16
+#: Cost of testing a chance candidate in units of dealing a fingerprint to one more family (0.08 against 1 microsecond, measured).
+CANDIDATE_COST = 0.08
+#: Earlier rows of its bucket that a row meets in the first pass, and how many of the near ones it is linked with there.
+LOOK = 256
+CHAIN = 2
+#: Rows of a bucket that the second pass holds against the others in one group.
+SLOT_ROWS = 4096
 _PIECE = 65_536
+_TABLE_ROWS = 1024
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many rows of ``hashes`` (rows of 64-bit words) have each bit set."""
+    octets = np.ascontiguousarray(hashes, dtype="<u8").view(np.uint8).reshape(len(hashes), -1)
+    return np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BYTE_BITS for i in range(octets.shape[1])])
 
 
 def fingerprint_of(text: str | None, shingle: int) -> int:
@@ -49,8 +60,7 @@ def fingerprint_of(text: str | None, shingle: int) -> int:
     for at in range(0, total, _PIECE):
         part = words[at : min(at + _PIECE, total) + shingle - 1]
         shingles = map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False))
-        hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
-        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits += bit_counts(np.array([digest(s, SEED) for s in shingles], dtype="<u8"))
     return int.from_bytes(np.packbits(bits * 2 > total, bitorder="little").tobytes(), "little")
 
 
@@ -66,45 +76,84 @@ def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text: str =
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def block_masks(radius: int, count: int) -> list[int]:
-    """Bit masks of the bucket families: all sets of m - radius of m blocks.
+def block_families(radius: int, count: int) -> list[list[int]]:
+    """The bits of each family: all unions of m - radius of m blocks of a 64-bit fingerprint.
 
     Any m is exact. More blocks mean more families to deal to and fewer chance candidates in each bucket; the m with
-    the least of both for ``count`` fingerprints is taken.
+    the least cost of both for ``count`` fingerprints is taken.
     """
 
     def cost(m: int) -> float:
-        families = comb(m, radius)
-        return families * (1 + CANDIDATE_COST * count / 2.0 ** (64 * (m - radius) // m))
+        return comb(m, radius) * (1 + CANDIDATE_COST * count / 2.0 ** (1 + 64 * (m - radius) // m))
 
     m = min(range(radius + 1, radius + 7), key=cost)
-    exact = m - radius
-    cuts = [64 * i // m for i in range(m + 1)]
-    blocks = [((1 << cuts[i + 1]) - 1) ^ ((1 << cuts[i]) - 1) for i in range(m)]
-    return [sum(chosen) for chosen in combinations(blocks, exact)]
-
+    blocks = [range(64 * i // m, 64 * (i + 1) // m) for i in range(m)]
+    return [[b for block in chosen for b in block] for chosen in combinations(blocks, m - radius)]
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
-
-def _pivot(i: int) -> int:
-    """Pseudo-random reference fingerprint i (splitmix64 of i)."""
+def reference(i: int) -> int:
+    """64 bits of the pseudo-random reference fingerprints (splitmix64 of i)."""
     z = (i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
     z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
     z = (z ^ z >> 27) * 0x94D049BB133111EB % (1 << 64)
     return z ^ z >> 31
 
 
-def _table(fp: Column) -> list[Column]:
-    """The distances to the 16 references, eight 7-bit coordinates to a long."""
+_PIVOTS = np.array([reference(i) for i in range(REFERENCES)], dtype=np.uint64)
+
+
+class PivotTable:
+    """Distances of fingerprints of ``words`` 64-bit words to the references, over the bits of each of ``families``."""
+
+    def __init__(self, words: int, families: list[list[int]]):
+        pivots = np.array([[reference(w * REFERENCES + i) for w in range(words)] for i in range(REFERENCES)], dtype="<u8")
+        bits = np.unpackbits(pivots.view(np.uint8).reshape(REFERENCES, -1), axis=1, bitorder="little").astype(np.float32)
+        inside = np.zeros((64 * words, len(families), 1), dtype=np.float32)
+        for f, chosen in enumerate(families):
+            inside[chosen, f] = 1
+        # the distance over a family: the pivot's set bits there, and for each set bit of the fingerprint 1 or -1
+        self.base = (inside * bits.T[:, None, :]).sum(axis=0).reshape(-1)
+        self.signs = (inside * (1 - 2 * bits.T[:, None, :])).reshape(64 * words, -1)
+        draw = np.random.default_rng(SEED)
+        self.factors = draw.integers(0, 1 << 64, (len(families), REFERENCES), dtype=np.uint64) | np.uint64(1)
+
+    def distances(self, fps: np.ndarray) -> np.ndarray:
+        """(rows, families, references) for ``fps`` (rows, words)."""
+        bits = np.unpackbits(np.ascontiguousarray(fps, dtype="<u8").view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+        return (bits.astype(np.float32) @ self.signs + self.base).astype(np.uint64).reshape(len(fps), *self.factors.shape)
+
+    def keys(self, fps: np.ndarray) -> np.ndarray:
+        """(rows, families): a bucket key, the hash of a family's coordinates."""
+        parts = [(self.distances(fps[at : at + _TABLE_ROWS]) * self.factors).sum(axis=2) for at in range(0, len(fps), _TABLE_ROWS)]
+        keys = np.concatenate(parts) if parts else np.zeros((0, len(self.factors)), dtype=np.uint64)
+        keys = (keys ^ keys >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return keys ^ keys >> np.uint64(32)
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
+    """(whether each pair of words of ``x`` and ``y`` is linked, how many pairs the coordinates did not discard)."""
+    linked = np.zeros(len(x), dtype=bool)
+    left = np.arange(len(x))
+    for pivot in _PIVOTS:
+        a, b = np.bitwise_count(x[left] ^ pivot), np.bitwise_count(y[left] ^ pivot)
+        left = left[np.maximum(a, b) - np.minimum(a, b) <= radius]
+    linked[left] = np.bitwise_count(x[left] ^ y[left]) <= radius
+    return linked, len(left)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _table(word: Column) -> list[Column]:
+    """The distances of a word to the 16 references, eight 7-bit coordinates to a long."""
     packed = []
     for half in range(2):
-        word = F.lit(0).cast("long")
+        coordinates = F.lit(0).cast("long")
         for i in range(8):
-            distance = F.bit_count(fp.bitwiseXOR(F.lit(_signed(_pivot(8 * half + i))))).cast("long")
-            word = word.bitwiseOR(F.shiftleft(distance, 7 * i))
-        packed.append(word)
+            distance = F.bit_count(word.bitwiseXOR(F.lit(_signed(reference(8 * half + i))))).cast("long")
+            coordinates = coordinates.bitwiseOR(F.shiftleft(distance, 7 * i))
+        packed.append(coordinates)
     return packed
 
 
@@ -115,28 +164,62 @@ def _near(a: str, b: str, radius: int) -> Column:
         for i in range(8):
             read = lambda side: F.shiftright(F.col(f"{side}.{half}"), 7 * i).bitwiseAND(F.lit(127))  # noqa: E731, B023
             survives = survives & (F.abs(read(a) - read(b)) <= radius)
-    return survives & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= radius)
+    return survives & (F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= radius)
+
+
+_PAIR, _AGAIN, _COUNTS = 0, 1, 2
 
 
-def _chained(bucketed: DataFrame, radius: int) -> DataFrame:
-    """Edges between near fingerprints that stand next to each other in a bucket. The rows are sorted by bucket."""
+def _scanned(bucketed: DataFrame, radius: int) -> DataFrame:
+    """(kind, a, b) of ``bucketed`` (key, id, sketch), range-dealt and sorted by key and id: the first pass.
+
+    A row meets the ``LOOK`` rows before it in its bucket and is paired with the first ``CHAIN`` near ones. Buckets in
+    which that may leave pairs out are told for the second pass: those with more near ones or more rows, and the
+    first and the last of a task, which other tasks may share. The third kind counts candidates and survivors.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, dtype=np.int64)] * 3
-        for batch in batches:
-            cols = [np.concatenate([t, batch.column(i).to_numpy()]) for i, t in enumerate(tail)]
-            family, bucket, fp = cols
-            edges = []
-            for back in range(1, CHAIN + 1):
-                same = (family[back:] == family[:-back]) & (bucket[back:] == bucket[:-back])
-                near = np.bitwise_count((fp[back:] ^ fp[:-back]).view(np.uint64)) <= radius
-                at = np.flatnonzero(same & near)
-                edges.append(np.stack([fp[at], fp[at + back]], axis=1))
-            found = np.unique(np.concatenate(edges), axis=0)
-            tail = [c[-CHAIN:] for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        held = [np.zeros(0, dtype=np.int64)] * 3
+        first = True
+
+        def out(kind: int, a, b) -> pa.RecordBatch:
+            a, b = np.asarray(a, dtype=np.int64), np.asarray(b, dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
 
-    return bucketed.select("family", "bucket", "fp").mapInArrow(run, "a long, b long")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            old = len(held[0])
+            key, ids, sketch = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
+            words = sketch.view(np.uint64)
+            again = [key[old : old + 1]] if first else []
+            first = False
+            hits, pairs, tested, survived = np.zeros(len(key), dtype=np.int32), [], 0, 0
+            at = np.arange(old, len(key))
+            for back in range(1, LOOK + 1):
+                at = at[at >= back]
+                at = at[key[at] == key[at - back]]
+                if not len(at):
+                    break
+                near, passed = near_pairs(words[at], words[at - back], radius)
+                tested, survived = tested + len(at), survived + passed
+                hit = at[near]
+                fresh = hit[hits[hit] < CHAIN]
+                pairs.append(np.stack([ids[fresh - back], ids[fresh]], axis=1))
+                again.append(key[hit[hits[hit] >= CHAIN]])
+                hits[hit] += 1
+            else:
+                again.append(key[at])
+            found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), dtype=np.int64)
+            flagged = np.unique(np.concatenate(again)) if again else np.zeros(0, dtype=np.int64)
+            yield out(_PAIR, found[:, 0], found[:, 1])
+            yield out(_AGAIN, flagged, np.zeros(len(flagged)))
+            yield out(_COUNTS, [tested], [survived])
+            held = [c[-LOOK:] for c in (key, ids, sketch)]
+        if len(held[0]):
+            yield out(_AGAIN, held[0][-1:], [0])
+
+    return bucketed.mapInArrow(run, "kind int, a long, b long")
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
@@ -145,34 +228,74 @@ def _labelled(nodes: DataFrame, labels: DataFrame, column: str, out: str) -> Dat
     return nodes.join(roots, F.col(column) == F.col("_n"), "left").withColumn(out, F.coalesce("_r", column)).drop("_n", "_r")
 
 
-def linked_fingerprints(points: DataFrame, radius: int) -> DataFrame:
-    """(fp, root) for the distinct fingerprints of ``points`` (fp): linked ones, at ``radius`` or fewer bits, share a root.
+def linked(
+    points: DataFrame,
+    families: list[list[int]],
+    radius: int,
+    verify: Callable[[DataFrame], DataFrame] | None = None,
+    report: dict | None = None,
+    n_words: int = 1,
+) -> DataFrame:
+    """(id, root): points whose fingerprints share a bucket and are linked have the same root.
+
+    ``points``: id (distinct), words (array of ``n_words`` longs); the coordinates and the radius of the tests are those of the first word,
+    ``verify`` takes and returns (a, b) for further tests. ``report`` receives the pairs left after each step of the first pass.
 
-    Exact. First, fingerprints next to each other in the sorted buckets are linked, which joins nearly all of
-    a group of near copies by a handful of edges a member. Then only buckets that hold more than one
-    component so far are searched, for pairs of different components. A group of near copies of any
-    size thus never has all its pairs formed, and no link between components is lost.
+    Near copies are first linked along their buckets, a few edges a member, and only buckets that then still hold
+    several components are searched for pairs of different ones; so a group of near copies never has
+    all its pairs formed, and no link between components is lost. There, every row meets the rows that are not of the
+    bucket's largest component, in groups of ``SLOT_ROWS``.
     """
-    count = points.count()
-    masks = [_signed(m) for m in block_masks(radius, count)]
-    families = F.explode(F.array(*[F.struct(F.lit(i).alias("family"), F.col("fp").bitwiseAND(F.lit(m)).alias("bucket")) for i, m in enumerate(masks)]))
+    verify = verify or (lambda pairs: pairs)
 
     def bucketed(frame: DataFrame) -> DataFrame:
-        kept = [c for c in frame.columns]
-        return frame.select(*kept, families.alias("_f")).select(*kept, F.col("_f.family").cast("long").alias("family"), F.col("_f.bucket").alias("bucket"))
-
-    by_bucket = bucketed(points.select("fp")).repartitionByRange("family", "bucket", "fp").sortWithinPartitions("family", "bucket", "fp")
-    first = components(_chained(by_bucket, radius))
-
-    p0, p1 = _table(F.col("fp"))
-    table = written(_labelled(points.select("fp"), first, "fp", "comp").select("fp", "comp", p0.alias("p0"), p1.alias("p1")), "pivot_table")
-    slim = bucketed(table.select("fp", "comp"))
-    mixed = slim.groupBy("family", "bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
-    searched = written(slim.join(mixed, ["family", "bucket"], "left_semi").join(table.drop("comp"), "fp"), "searched")
-    same = (F.col("x.family") == F.col("y.family")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp"))
-    pairs = searched.alias("x").join(searched.alias("y"), same & _near("x", "y", radius))
-    second = components(pairs.select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b")).distinct())
-    return _labelled(table.select("fp", "comp"), second, "comp", "root").select("fp", "root")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = PivotTable(n_words, families)
+            for batch in batches:
+                words = batch.column(1).flatten().to_numpy().reshape(-1, n_words)
+                keys = table.keys(words.view(np.uint64)).view(np.int64)
+                for f in range(len(families)):
+                    columns = [pa.array(np.ascontiguousarray(keys[:, f])), batch.column(0), pa.array(np.ascontiguousarray(words[:, 0])), batch.column(2)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "sketch", "comp"])
+
+        return frame.select("id", "words", "comp").mapInArrow(run, "key long, id long, sketch long, comp long")
+
+    dealt = bucketed(points.withColumn("comp", F.col("id"))).select("key", "id", "sketch").repartitionByRange("key", "id")
+    scanned = written(_scanned(dealt.sortWithinPartitions("key", "id"), radius), "scanned")
+    pairs = scanned.where(F.col("kind") == _PAIR).select("a", "b").distinct()
+    if report is not None:
+        counts = scanned.where(F.col("kind") == _COUNTS).agg(F.sum("a"), F.sum("b")).first()
+        report |= {"candidates": counts[0] or 0, "survivors": counts[1] or 0, "linked": pairs.count()}
+    first = components(verify(pairs))
+    labelled = written(_labelled(points.select("id", "words"), first, "id", "comp"), "labelled")
+    again = written(scanned.where(F.col("kind") == _AGAIN).select(F.col("a").alias("key")).distinct(), "again")
+    if again.isEmpty():
+        return labelled.select("id", F.col("comp").alias("root"))
+
+    slim = bucketed(labelled).join(small(again), "key", "left_semi")
+    several = slim.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    rows = written(bucketed(labelled).join(small(written(several, "several")), "key", "left_semi"), "several_rows")
+    by_component = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    buckets = by_component.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    buckets = written(buckets.select("key", "main", F.ceil(F.col("n") / SLOT_ROWS).cast("int").alias("slots")), "buckets")
+    p0, p1 = _table(F.col("sketch"))
+    mixed = rows.join(small(buckets), "key").select("*", p0.alias("p0"), p1.alias("p1"))
+    all_rows = mixed.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
+    strangers = mixed.where("comp <> main").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.slot") == F.col("y.slot"))
+    other = (F.col("x.comp") < F.col("y.comp")) | ((F.col("x.comp") > F.col("y.comp")) & (F.col("x.comp") == F.col("x.main")))
+    met = all_rows.alias("x").join(strangers.alias("y"), same & other & _near("x", "y", radius))
+    found = verify(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    x, y = (labelled.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
+    second = components(found.join(x, "a").join(y, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    return _labelled(labelled, second, "comp", "root").select("id", "root")
+
+
+def linked_fingerprints(points: DataFrame, radius: int, report: dict | None = None) -> DataFrame:
+    """(fp, root) for the distinct fingerprints of ``points`` (fp): linked ones, at ``radius`` or fewer bits, share a root. Exact."""
+    families = block_families(radius, points.count())
+    roots = linked(points.select(F.col("fp").alias("id"), F.array("fp").alias("words")), families, radius, report=report)
+    return roots.select(F.col("id").alias("fp"), "root")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,7 +304,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, key: str
     component_id is the smallest doc_id that links reach, the document itself included. Fewer words than a shingle:
     the whole sequence is the shingle. Null or wordless text: fingerprint zero, linked like any other.
     Repeated rows come back each; null doc_ids never are a component_id unless a component has no other.
-    Equal fingerprints are one point of the search. An empty table gives no rows.
+    Equal fingerprints are one point of the search. Texts of any length are hashed in pieces. Other columns of ``docs``
+    are not read. An empty table gives no rows.
     """
     rows = written(fingerprints(docs, shingle, key, text), "fingerprints")
     points = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
@@ -189,21 +313,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 4, key: str
     smallest = written(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
     named = written(roots.join(smallest, "root").select("fp", "component_id"), "components")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without near-duplicates: of each component the row of the smallest key stays, once.
-
-    Rows that share a key are one document. Rows of null key stay, as nothing names them. The narrow list
-    of removed keys is joined, not the texts regrouped.
-    """
-    named = written(near_duplicates(docs, shingle, radius, key, text).where("doc_id IS NOT NULL"), "named")
-    by_id = named.groupBy("doc_id").agg(F.max((F.col("component_id") == F.col("doc_id")).cast("int")).alias("_stays"), F.count("*").alias("_n"))
-    by_id = written(by_id, "by_id").withColumnRenamed("doc_id", "_id")
-    on = F.col(key) == F.col("_id")
-    gone = by_id.where("_stays = 0").select("_id")
-    kept = docs.join(small(gone), on, "left_anti")
-    again = by_id.where("_stays = 1 AND _n > 1").select("_id")
-    if again.isEmpty():
-        return kept
-    return kept.join(small(again), on, "left_anti").unionByName(kept.join(small(again), on, "left_semi").dropDuplicates([key]))

@@ -1,13 +1,17 @@
-"""Near-duplicates by exact Jaccard similarity of word-shingle sets.
-
-Candidates are pairs of distinct shingle sets that agree in one of 32 bands of 4 minimum hashes. A pair of similarity s
-is no candidate with probability (1 - s^4)^32: 5e-8 at 0.8, less above. Candidates are verified by the
-sets themselves, so a link is never a guess, and components are formed of verified links only.
+"""SimHash near-duplicates of a given Jaccard similarity of word-shingle sets.
+
+The search is that of ``simhash``: pivot distance tables give the candidates, discard and verify. Fingerprints have 256 bits
+here, because the bits that texts of similarity s differ in scatter about their mean, arccos(cosine) / pi of all, too
+widely in 64; 2 s / (1 + s) is the cosine of two sets of one size. A linked pair then leaves no block of bits
+surely alone, so families are random sets of bits, as many as keep the chance that a pair at the limit agrees in
+none of them below ``MISS``. The survivors are verified by all 256 bits and at last by the shingle sets themselves:
+links are never a guess, and components are formed of verified links only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -15,17 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basaltql.llm.common import small, written
-from basaltql.llm.components import components
-from basaltql.llm.simhash import SEED, _labelled
+from basaltql.llm.simhash import SEED, bit_counts, linked
 
-BANDS, ROWS = 32, 4
-#: Sets before it in a bucket that a set is first held against.
-CHAIN = 2
-_PIECE = 2048
-_RANDOM = np.random.default_rng(SEED)
-_XOR = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
-_TIMES = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+WORDS = 4
+#: Bound on the chance that a pair at the limit of similarity is no candidate.
+MISS = 1e-3
+#: Chance members of a bucket beyond which families take more bits.
+BUCKET_ROWS = 64
+LEAST_BITS = 18
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -42,20 +44,39 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, SEED) for s in shingles), dtype=np.uint64, count=len(shingles)))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A bucket key for each band of ``shingle_set``'s hashes."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), _PIECE):
-        least = np.minimum(least, ((hashes[at : at + _PIECE, None] ^ _XOR) * _TIMES).min(axis=0))
-    keys = np.zeros(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = (keys ^ row) * _MIX
-        keys ^= keys >> np.uint64(29)
-    return keys
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """256-bit SimHash of ``shingle_set``'s hashes, each of which is mixed into four words. Empty: zero."""
+    words, h = [], hashes
+    for _ in range(WORDS):
+        words.append(h)
+        h = (h ^ h >> np.uint64(31)) * _MIX + np.uint64(SEED)
+        h = h ^ h >> np.uint64(29)
+    counts = np.concatenate([bit_counts(w) for w in words])
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def differing_share(percent: int) -> float:
+    """Share of its bits in which the fingerprints of two sets of one size and this similarity differ on average."""
+    s = percent / 100
+    return acos(2 * s / (1 + s)) / pi
+
+
+def bit_families(percent: int, count: int) -> list[list[int]]:
+    """Random bit sets that a pair at the limit agrees in one of, but for a chance of ``MISS``; more bits for more points."""
+    size = max(LEAST_BITS, ceil(log2(max(count, 1) / BUCKET_ROWS)))
+    families = ceil(log(MISS) / log(1 - (1 - differing_share(percent)) ** size))
+    draw = np.random.default_rng(SEED)
+    return [sorted(draw.choice(64 * WORDS, size, replace=False).tolist()) for _ in range(families)]
+
+
+def radius_of(percent: int, bits: int) -> int:
+    """Differing bits that a pair at the limit exceeds with a chance of about 1e-5: 4.5 standard deviations over the mean."""
+    p = differing_share(percent)
+    return ceil(bits * p + 4.5 * (bits * p * (1 - p)) ** 0.5)
 
 
 def _marks(numbered: DataFrame, shingle: int) -> DataFrame:
-    """(row, key, fp, n, bands) of ``numbered`` (row, key, text); fp names the shingle set, n is its size."""
+    """(row, key, fp, n, words) of ``numbered`` (row, key, text); fp names the shingle set, n is its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -63,12 +84,12 @@ def _marks(numbered: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
             fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            bands = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            words = pa.array([wide_fingerprint(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), bands], names=["row", "key", "fp", "n", "bands"]
+                [batch.column(0), batch.column(1), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), words], names=["row", "key", "fp", "n", "words"]
             )
 
-    return numbered.mapInArrow(run, "row long, key long, fp long, n long, bands array<long>")
+    return numbered.mapInArrow(run, "row long, key long, fp long, n long, words array<long>")
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -82,38 +103,16 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "fp long, hashes array<long>")
 
 
-def _chained(dealt: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that stand next to each other in a bucket. The rows are sorted by bucket and fp."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, dtype=np.int64)] * 3
-        for batch in batches:
-            cols = [np.concatenate([t, batch.column(i).to_numpy()]) for i, t in enumerate(tail)]
-            family, bucket, fp = cols
-            pairs = []
-            for back in range(1, CHAIN + 1):
-                at = np.flatnonzero((family[back:] == family[:-back]) & (bucket[back:] == bucket[:-back]))
-                pairs.append(np.stack([fp[at], fp[at + back]], axis=1))
-            found = np.unique(np.concatenate(pairs), axis=0)
-            tail = [c[-CHAIN:] for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-    return dealt.select("family", "bucket", "fp").mapInArrow(run, "a long, b long")
-
-
-def similar_sets(points: DataFrame, numbered: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(fp, root) of ``points`` (fp, row, n, bands): sets linked at a similarity of ``percent`` or more share a root.
-
-    As in ``linked_fingerprints``, neighbours in the sorted buckets are linked first, and only buckets that then
-    hold several components are searched for pairs of different ones.
-    """
-    sizes = points.select("fp", "n")
+def similar_sets(points: DataFrame, numbered: DataFrame, shingle: int, percent: int, report: dict | None = None) -> DataFrame:
+    """(fp, root) of ``points`` (fp, row, n, words): sets linked at a similarity of ``percent`` or more share a root."""
+    known = points.select("fp", "n", "words")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = sizes.select(F.col("fp").alias("a"), F.col("n").alias("na"))
-        right = sizes.select(F.col("fp").alias("b"), F.col("n").alias("nb"))
-        sized = pairs.distinct().join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        sized = written(sized, "candidates")
+    def verify(pairs: DataFrame) -> DataFrame:
+        left = known.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("words").alias("wa"))
+        right = known.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("words").alias("wb"))
+        sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        bits = sum(F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(WORDS))
+        sized = written(sized.where(bits <= radius_of(percent, 64 * WORDS)).select("a", "b", "na", "nb"), "candidates")
         nodes = sized.select(F.col("a").alias("fp")).union(sized.select("b")).distinct()
         chosen = written(points.select("fp", "row").join(nodes, "fp"), "chosen")
         sets = written(_sets(numbered.join(small(chosen), "row").select("fp", "text"), shingle), "sets")
@@ -122,37 +121,24 @@ def similar_sets(points: DataFrame, numbered: DataFrame, shingle: int, percent:
         both = sized.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
         return written(both.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b"), "links")
 
-    def dealt(frame: DataFrame) -> DataFrame:
-        kept = [c for c in frame.columns if c != "bands"]
-        return frame.select(*kept, F.posexplode("bands").alias("family", "bucket")).withColumn("family", F.col("family").cast("long"))
-
-    by_bucket = dealt(points.select("fp", "bands")).repartitionByRange("family", "bucket", "fp").sortWithinPartitions("family", "bucket", "fp")
-    first = components(verified(_chained(by_bucket)))
-    labelled = written(_labelled(points.select("fp", "n", "bands"), first, "fp", "comp"), "labelled")
-    slim = dealt(labelled)
-    mixed = slim.groupBy("family", "bucket").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
-    searched = written(slim.join(mixed, ["family", "bucket"], "left_semi"), "searched")
-    same = (F.col("x.family") == F.col("y.family")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") < F.col("y.comp"))
-    same = same & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-    found = verified(searched.alias("x").join(searched.alias("y"), same).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
-    comps = labelled.select("fp", "comp")
-    a, b = (comps.select(F.col("fp").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
-    second = components(found.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    return _labelled(comps, second, "comp", "root").select("fp", "root")
+    families = bit_families(percent, points.count())
+    roots = linked(points.select(F.col("fp").alias("id"), "words"), families, radius_of(percent, 64), verify, report, WORDS)
+    return roots.select(F.col("id").alias("fp"), "root")
 
 
 def one_of_similar(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without near-duplicates: of each component of texts linked at ``percent`` or more Jaccard similarity one row stays.
 
     That is the row of the smallest key, null keys last. Rows are told apart by a number in a written copy of ``docs``,
-    so null and repeated keys are judged like any other. Wordless texts are alike.
+    so null and repeated keys are judged like any other, and other columns travel along. Null, empty and wordless texts are alike,
+    one of them stays. Texts are read whole. An empty table stays empty.
     """
     copy = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     numbered = copy.select(F.col("_row").alias("row"), F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     marks = written(_marks(numbered, shingle), "marks")
     first = F.min(F.struct(F.col("key").isNull().alias("last"), "key", "row")).alias("rep")
     reps = marks.groupBy("fp").agg(first)
-    points = written(reps.join(marks.select("row", "n", "bands"), F.col("rep.row") == F.col("row")), "points")
+    points = written(reps.join(marks.select("row", "n", "words"), F.col("rep.row") == F.col("row")), "points")
     roots = written(points.select("fp", "rep").join(similar_sets(points, numbered.select("row", "text"), shingle, percent), "fp"), "roots")
     smallest = written(roots.groupBy("root").agg(F.min("rep").alias("kept")), "smallest")
     named = written(roots.join(smallest, "root").select("fp", F.col("kept.row").alias("kept")), "named")
