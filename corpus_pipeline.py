@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more are linked, each link verified; one of a component stays."""
+    """SimHash by pivot tables links texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more, each link verified; one of a component stays."""
     return one_of_similar(docs, shingle=5, percent=80)
 
 
