@@ -49,11 +49,8 @@ def pieces(docs: DataFrame, window: int, tokenizer: str, key: str = "doc_id", te
 _PIECE = ["doc_id", "doc", "start", "length", "ids_crc32", "doc_tokens"]
 
 
-def combinations_of(lengths: np.ndarray, window: int, most: int = 60_000) -> np.ndarray:
-    """Rows of three lengths (0: none) that fill ``window`` exactly: all singles and pairs, and triples up to ``most`` rows.
-
-    Triples are thinned evenly over their largest lengths if there are more.
-    """
+def combinations_of(lengths: np.ndarray, window: int) -> np.ndarray:
+    """Rows of three lengths (0: none) that fill ``window`` exactly: all singles, pairs and triples, about window ** 2 / 12 at most."""
     have = np.zeros(window + 1, dtype=bool)
     have[lengths] = True
     rows = [[window, 0, 0]] if have[window] else []
@@ -64,16 +61,14 @@ def combinations_of(lengths: np.ndarray, window: int, most: int = 60_000) -> np.
             b = np.arange(max(1, -(-(window - a) // 2)), min(a, window - a - 1) + 1)
             b = b[have[b] & have[window - a - b]] if len(b) else b
             triples.append(np.stack([np.full(len(b), a), b, window - a - b], axis=1))
-    found = np.concatenate(triples) if triples else np.zeros((0, 3), dtype=np.int64)
-    if len(found) > most:
-        found = found[np.linspace(0, len(found) - 1, most).astype(np.int64)]
-    return np.concatenate([np.array(rows, dtype=np.int64).reshape(-1, 3), found])
+    return np.concatenate([np.array(rows, dtype=np.int64).reshape(-1, 3), *triples])
 
 
-def solve_counts(combos: np.ndarray, histogram: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Non-negative least squares by accelerated projected gradients; columns are scaled by the histogram's spread.
+def solve_counts(combos: np.ndarray, histogram: np.ndarray, gain: float = 0.01, every: int = 25) -> np.ndarray:
+    """Non-negative least squares by accelerated projected gradients, until ``every`` steps lower the residual by less than ``gain`` of it.
 
-    Rows of A x - h are weighted by 1 / sqrt(h), so that rare lengths count as well.
+    Rows of A x - h are weighted by 1 / sqrt(h), so that rare lengths count as well. A residual of a millionth of the
+    histogram is taken as none.
     """
     window = len(histogram) - 1
     h = histogram.astype(float)
@@ -87,32 +82,56 @@ def solve_counts(combos: np.ndarray, histogram: np.ndarray, steps: int = 400) ->
         probe = probe / norm if norm else probe
     step = 1 / (norm * 1.05) if norm else 1.0
     x, y, t = np.zeros(len(combos)), np.zeros(len(combos)), 1.0
-    for _ in range(steps):
-        nxt = np.maximum(0, y - step * back(weight * (use(y) - h)))
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = nxt + (t - 1) / t2 * (nxt - x)
-        x, t = nxt, t2
+    size = weight @ (h * h)
+    before = size
+    while size:
+        for _ in range(every):
+            nxt = np.maximum(0, y - step * back(weight * (use(y) - h)))
+            if (y - nxt) @ (nxt - x) > 0:  # past the minimum along the way: start the momentum anew
+                t = 1.0
+            t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            y = nxt + (t - 1) / t2 * (nxt - x)
+            x, t = nxt, t2
+        residual = weight @ (use(x) - h) ** 2
+        if residual <= 1e-12 * size or residual > (1 - gain) * before:
+            break
+        before = residual
     return x
 
 
-def plan(histogram: dict[int, int], window: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, repeats) that use every piece of ``histogram`` once; no sequence exceeds ``window``."""
+def plan(histogram: dict[int, int], window: int, report: dict | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, repeats) that use every piece of ``histogram`` once; no sequence exceeds ``window``.
+
+    Counts are rounded down first; then combinations take one more each in order of what that cut off, while
+    pieces last. ``report`` receives the pieces that the solution and the greedy rest place, and their padding.
+    """
     h = np.zeros(window + 1, dtype=np.int64)
     for length, n in histogram.items():
         h[length] = n
+    total = int(h.sum())
     out: list[tuple[tuple[int, ...], int]] = []
     combos = combinations_of(np.flatnonzero(h), window)
     if len(combos):
-        solved = np.floor(solve_counts(combos, h) + 1e-6).astype(np.int64)
-        for i in np.argsort(-solved, kind="stable"):
-            if solved[i] <= 0:
-                break
-            lengths = [int(v) for v in combos[i] if v]
-            n = min(int(solved[i]), *(int(h[v]) // lengths.count(v) for v in lengths))
+        solved = solve_counts(combos, h)
+        whole = np.floor(solved + 1e-6).astype(np.int64)
+        rest = solved - whole
+        rounds = [(i, int(whole[i])) for i in np.argsort(-whole, kind="stable") if whole[i] > 0]
+        rounds += [(i, 1) for i in np.argsort(-rest, kind="stable") if rest[i] > 1e-3]
+        left, repeats = h.tolist(), {}
+        for i, n in rounds:
+            a, b, c = combos[i].tolist()
+            n = min(n, left[a] // (1 + (a == b) + (a == c)))
+            if b:
+                n = min(n, left[b] // (1 + (a == b) + (b == c)))
+            if c:
+                n = min(n, left[c] // (1 + (a == c) + (b == c)))
             if n > 0:
-                out.append((tuple(lengths), n))
-                for v in lengths:
-                    h[v] -= n
+                repeats[i] = repeats.get(i, 0) + n
+                for v in (a, b, c):
+                    left[v] -= n * (v > 0)
+        out = [(tuple(v for v in combos[i].tolist() if v), n) for i, n in repeats.items()]
+        h = np.array(left, dtype=np.int64)
+    planned = len(out)
     present = [int(v) for v in np.flatnonzero(h)]
     while present:  # the largest piece, then always the largest that still fits; repeated while all last
         lengths, room, used = [], window, {}
@@ -127,6 +146,10 @@ def plan(histogram: dict[int, int], window: int) -> list[tuple[tuple[int, ...],
         for v, k in used.items():
             h[v] -= n * k
         present = [v for v in present if h[v]]
+    if report is not None:
+        greedy = out[planned:]
+        report |= {"pieces": total, "solved": sum(len(c) * n for c, n in out[:planned]), "greedy": sum(len(c) * n for c, n in greedy)}
+        report["greedy_padding"] = sum((window - sum(c)) * n for c, n in greedy)  # solved sequences have none
     return out
 
 
