@@ -108,55 +108,50 @@ def fit_severity(
 ) -> OrdinalModel:
     """Fit the model on a bounded sample of labelled rows.
 
-    ``label`` may hold grades 0..K-1. Where it is binary, documents labelled 1 are graded 1 or 2: 2 where they
-    have more positively associated features than the median of such documents.
+    ``label`` holds grades 0..K-1; binary labels are two grades, so severity then is the chance of the upper one.
+    Of a doc_id with several labels the highest counts; labels and documents without doc_id teach nothing. Features are
+    chosen by chi-square with any of the thresholds, ties by name.
     Without positive labels the model finds nothing. Feature counts are summed on the executors;
-    the driver gets the ``max_features`` with the largest chi-square and the sample's set features.
+    the driver gets the ``max_features`` with the largest chi-square and the sample's set features, at most
+    ``train_rows`` times ``max_features`` whatever the length of the texts.
     """
     sample = written(_labelled(docs, labels, key, text, label, train_rows), "labelled")
 
+    sizes = {r["grade"]: r["count"] for r in sample.groupBy("grade").count().collect()}
+    n, top = sum(sizes.values()), max(sizes, default=0)
+    shares = [sum(m for g, m in sizes.items() if g >= k) / n for k in range(1, top + 1)] if n else []
+    if not shares or shares[0] == 1:
+        return OrdinalModel({}, (20.0 if not shares else -20.0,))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: Counter = Counter()
-            positive: Counter = Counter()
+            seen = [Counter() for _ in range(top + 1)]  # documents of grade k or more that have a feature
             for body, grade in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = {f for w in words(body) for f in word_features(w)}
-                total.update(found)
-                if grade > 0:
-                    positive.update(found)
-            names = list(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([total[f] for f in names], pa.int64()), pa.array([positive[f] for f in names], pa.int64())],
-                names=["feature", "n", "n_pos"],
-            )
-
-    sums = sample.agg(F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("long")).alias("p"), F.max("grade").alias("top")).first()
-    n, p = sums["n"], sums["p"] or 0
-    if not p or p == n:
-        return OrdinalModel({}, (20.0 if not p else -20.0,))
-    counted = sample.select("doc_id", "text", "grade").mapInArrow(count, "feature string, n long, n_pos long")
-    counted = counted.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos")).where(F.col("n") >= min_docs)
-    a, b, expected = F.col("n_pos"), F.col("n"), F.col("n") * F.lit(p / n)
-    chi = (a - expected) * (a - expected) / expected
-    best = counted.select("feature", (a > expected).alias("up"), chi.alias("chi"), b.alias("n")).where(F.col("chi") > MIN_CHI)
+                for k in range(max(grade, 0) + 1):
+                    seen[k].update(found)
+            names = list(seen[0])
+            columns = [pa.array([c[f] for f in names], pa.int64()) for c in seen]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *columns], names=["feature", *[f"n{k}" for k in range(top + 1)]])
+
+    counts = [f"n{k}" for k in range(top + 1)]
+    counted = sample.select("doc_id", "text", "grade").mapInArrow(count, "feature string, " + ", ".join(f"{c} long" for c in counts))
+    counted = counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in counts]).where(F.col("n0") >= min_docs)
+    expected = [F.col("n0") * F.lit(p) for p in shares]
+    chis = [F.pow(F.col(f"n{k}") - e, F.lit(2.0)) / e for k, e in enumerate(expected, 1)]
+    chi = F.greatest(*chis) if len(chis) > 1 else chis[0]
+    best = counted.select("feature", chi.alias("chi")).where(F.col("chi") > MIN_CHI)
     best = best.orderBy(F.desc("chi"), "feature").limit(max_features).collect()
     index = {r["feature"]: i for i, r in enumerate(best)}
-    strong = {r["feature"] for r in best if r["up"]}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [{f for w in words(body) for f in word_features(w) if f in index} for body in batch.column(1).to_pylist()]
             sets = [sorted(index[f] for f in fs) for fs in found]
-            heat = [len(fs & strong) for fs in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sets, pa.list_(pa.int32())), pa.array(heat, pa.int32()), batch.column(2)], names=["f", "heat", "grade"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32())), batch.column(2)], names=["f", "grade"])
 
-    coded = sample.select("doc_id", "text", "grade").mapInArrow(encode, "f array<int>, heat int, grade int").collect()
+    coded = sample.select("doc_id", "text", "grade").mapInArrow(encode, "f array<int>, grade int").collect()
     grades = np.array([r["grade"] for r in coded], dtype=np.int64)
-    if sums["top"] == 1:
-        heat = np.array([r["heat"] for r in coded])
-        grades[(grades == 1) & (heat > np.median(heat[grades == 1]))] = 2
     rows = np.repeat(np.arange(len(coded)), [len(r["f"]) for r in coded])
     cols = np.array([f for r in coded for f in r["f"]], dtype=np.int64)
     w, theta = fit_ordinal(rows, cols, grades, len(index))
