@@ -3,7 +3,8 @@
 zstandard ratios of the whole document and of its fixed-size chunks must lie inside bands whose limits
 depend on the length. Repetitive text compresses too well, encoded or random text too badly. The
 bands are quantiles of documents labelled good, by length class, with a margin that narrows with
-the count of such documents; classes without any take wide default bands.
+the count of such documents; classes without any take wide default bands. Chunks have 4096 bytes, in texts
+of fewer than that 1024; texts of fewer than 1024 bytes are judged as a whole only.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltql.llm.common import written
+from basaltql.llm.common import small, written
 
-CHUNK_BYTES = 4096
+#: Chunk sizes, largest first: a text is cut into chunks of the first that it has as many bytes as.
+CHUNKS = (4096, 1024)
 #: Bands where no document is labelled: ratios of ordinary prose lie well inside at any length.
 DEFAULT_LOW, DEFAULT_HIGH = 0.3, 4.0
+#: Two classes an octave of UTF-8 bytes, up to the longest string.
+LENGTH_CLASSES = 64
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
@@ -74,10 +78,11 @@ def measure(doc_id, text: str | None, compressor) -> tuple:
     words = raw.split()  # splits bytes at exactly \\x20 and \\x09-\\x0D
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     ratio = len(raw) / len(compressor.compress(raw)) if raw else None
-    starts = list(range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES))
-    if starts and len(raw) % CHUNK_BYTES:
-        starts.append(len(raw) - CHUNK_BYTES)  # the last bytes, in a full chunk that overlaps the one before
-    chunks = [CHUNK_BYTES / len(compressor.compress(raw[i : i + CHUNK_BYTES])) for i in starts]
+    size = next((c for c in CHUNKS if c <= len(raw)), 0)
+    starts = list(range(0, len(raw) - size + 1, size)) if size else []
+    if starts and len(raw) % size:
+        starts.append(len(raw) - size)  # the last bytes, in a full chunk that overlaps the one before
+    chunks = [size / len(compressor.compress(raw[i : i + size])) for i in starts]
     low_high = (max(chunks), min(chunks)) if chunks else (None, None)
     symbols = len(_SYMBOLS.findall(text))
     return (doc_id, len(words), chars, symbols, dup_lines(text), repeat_words(words), len(raw), ratio, *low_high)
@@ -106,34 +111,37 @@ def length_class():
     return F.floor(F.log2(F.greatest(F.col("n_bytes"), F.lit(1))) * 2).cast("int")
 
 
+def chunk_size(length):
+    """The chunk size of a text of ``length`` bytes; 0: none."""
+    out = F.lit(0)
+    for size in reversed(CHUNKS):
+        out = F.when(length >= size, size).otherwise(out)
+    return out
+
+
 def fit_bands(measured: DataFrame, good: DataFrame, tail: float = 0.001) -> DataFrame:
-    """(length_class, low, high, chunk_low, chunk_high): a row for each class with good documents.
+    """(length_class, low, high, chunk_low, chunk_high): a row for each length class, null where nothing was learned.
 
-    ``good``: doc_id of documents labelled good; all of them count. The chunk bands come from the whole
-    corpus's good chunks, as chunks have one length. Documents that fail the base rules teach nothing.
+    ``good``: doc_id of documents labelled good; all of them count. Chunk bands come from all good chunks of a size.
+    Documents that fail the base rules teach nothing.
     """
     taught = measured.where(~base_failed()).join(good.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_semi")
     margin = lambda n: F.lit(0.01) + F.lit(0.3) / F.sqrt(n)
-    chunk = taught.agg(
-        F.count("chunk_max").alias("_n"),
-        F.percentile_approx("chunk_min", tail, 10000).alias("_low"),
-        F.percentile_approx("chunk_max", 1 - tail, 10000).alias("_high"),
-    ).select((F.col("_low") - margin(F.col("_n"))).alias("chunk_low"), (F.col("_high") + margin(F.col("_n"))).alias("chunk_high"))
-    by_length = (
-        taught.groupBy(length_class().alias("length_class"))
-        .agg(
-            F.count("ratio").alias("_n"),
-            F.percentile_approx("ratio", tail, 10000).alias("_low"),
-            F.percentile_approx("ratio", 1 - tail, 10000).alias("_high"),
-        )
-        .where("_n > 0")
-        .select(
-            "length_class",
-            (F.col("_low") - margin(F.col("_n"))).alias("low"),
-            (F.col("_high") + margin(F.col("_n"))).alias("high"),
+
+    def limits(key, name: str, lowest: str, highest: str, out: str) -> DataFrame:
+        sums = taught.groupBy(key.alias(name)).agg(
+            F.count(lowest).alias("_n"),
+            F.percentile_approx(lowest, tail, 10000).alias("_low"),
+            F.percentile_approx(highest, 1 - tail, 10000).alias("_high"),
         )
-    )
-    return by_length.join(F.broadcast(chunk), F.lit(True), "left")  # one row of chunk limits
+        low, high = F.col("_low") - margin(F.col("_n")), F.col("_high") + margin(F.col("_n"))
+        return sums.where("_n > 0").select(name, low.alias(f"{out}low"), high.alias(f"{out}high"))
+
+    classes = measured.sparkSession.range(LENGTH_CLASSES).select(F.col("id").cast("int").alias("length_class"))
+    classes = classes.withColumn("_size", chunk_size(F.floor(F.pow(F.lit(2.0), F.col("length_class") / 2) + F.lit(1e-6))))
+    by_length = limits(length_class(), "length_class", "ratio", "ratio", "")
+    by_size = limits(chunk_size(F.col("n_bytes")), "_size", "chunk_min", "chunk_max", "chunk_")
+    return classes.join(F.broadcast(by_length), "length_class", "left").join(F.broadcast(by_size), "_size", "left").drop("_size")  # fixed numbers of rows
 
 
 def base_failed():
@@ -143,17 +151,18 @@ def base_failed():
 def quality_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``docs`` with its measures, base_failed and kept.
 
-    kept: not base_failed, the whole ratio inside its length class's band, and every chunk of 4096
-    bytes inside the chunk band; the last chunk is the text's final 4096 bytes. Null or empty text: zero counts, base_failed. Repeated rows are judged
-    alike; rows of ``labels`` (doc_id, quality) with quality 1 teach the bands, null labels teach nothing.
-    Texts are read once; what is joined with labels is a narrow row a document.
+    kept: not base_failed, the whole ratio inside its length class's band, and every chunk inside the band of its size;
+    the last chunk is the text's final bytes. Null or empty text: zero counts, base_failed. Repeated rows are judged
+    alike; rows of ``labels`` (doc_id, quality) with quality 1 teach the bands, null labels teach nothing, nor do
+    labels of doc_ids that are not there. Limits themselves are inside. Texts of any length are read whole, once; what is
+    joined with labels is a narrow row a document. Other columns are not read. An empty table gives no rows.
     """
     measured = written(measures(docs, key, text), "measures")
     bands = fit_bands(measured, labels.where(F.col("quality") == 1)).withColumnRenamed("length_class", "_class")
     inside = lambda c, low, high: F.col(c).isNull() | F.col(c).between(
         F.coalesce(F.col(low), F.lit(DEFAULT_LOW)), F.coalesce(F.col(high), F.lit(DEFAULT_HIGH))
     )
-    judged = measured.join(F.broadcast(bands), length_class() == F.col("_class"), "left")  # at most 2 rows an octave of length
+    judged = measured.join(F.broadcast(bands), length_class() == F.col("_class"), "left")  # LENGTH_CLASSES rows
     kept = ~base_failed() & inside("ratio", "low", "high")
     kept = kept & inside("chunk_max", "chunk_low", "chunk_high") & inside("chunk_min", "chunk_low", "chunk_high")
     return judged.select(
@@ -167,12 +176,15 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
 def drop_low_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that ``quality_verdicts`` keeps.
 
-    The bands (at most two rows an octave of length) travel with the function that measures and filters, so
-    that no text is shuffled.
+    Only documents labelled good are measured beforehand. The bands (``LENGTH_CLASSES`` rows) travel with the function that
+    measures and filters, so that no text is shuffled. Rows of null key are judged like any other.
     """
-    fitted = fit_bands(written(measures(docs, key, text), "measures"), labels.where(F.col("quality") == 1)).collect()
+    good = labels.where(F.col("quality") == 1).select("doc_id").where("doc_id IS NOT NULL").distinct()
+    named = written(good.select(F.col("doc_id").alias("_good")), "good")
+    taught = docs.join(small(named), F.col(key) == F.col("_good"), "left_semi")
+    fitted = fit_bands(written(measures(taught, key, text), "measures"), good).collect()
     bands = {r["length_class"]: (r["low"], r["high"]) for r in fitted}
-    chunk = next(((r["chunk_low"], r["chunk_high"]) for r in fitted), (None, None))
+    chunks = {r["length_class"]: (r["chunk_low"], r["chunk_high"]) for r in fitted}
     column = docs.columns.index(text)
 
     def inside(x, limits) -> bool:
@@ -183,8 +195,8 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
         _, n, _, _, _, repeated, size, ratio, top, bottom = measure(None, body, compressor)
         if n < MIN_WORDS or repeated * 100 > n * MAX_REPEAT_PERCENT:
             return False
-        band = bands.get(math.floor(math.log2(max(size, 1)) * 2), (None, None))
-        return inside(ratio, band) and inside(top, chunk) and inside(bottom, chunk)
+        which = math.floor(math.log2(max(size, 1)) * 2)
+        return inside(ratio, bands[which]) and inside(top, chunks[which]) and inside(bottom, chunks[which])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
