@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD_SPACE = "\\x20\\x09-\\x0D"
 #: A table is broadcast only when its counted rows are at most this many narrow rows.
 BROADCAST_ROWS = 500_000
+#: Tasks that the rows of one value are spread over in a join with a larger table.
+SPREAD = 32
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -53,6 +55,20 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def spread_join(rows: DataFrame, table: DataFrame, on: str, row_id: str, how: str = "inner", count: int | None = None) -> DataFrame:
+    """``rows`` joined with ``table`` on the column ``on``, of which one value may be a large part of the rows.
+
+    A small table is broadcast. Else it is repeated ``SPREAD`` times and the rows are dealt by the value and a number drawn from
+    ``row_id``, so that the rows of one value go to as many tasks.
+    """
+    n = table.count() if count is None else count
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on, how)
+    repeated = table.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(row_id), F.lit(SPREAD)).cast("int"))
+    return dealt.join(repeated, [on, "_deal"], how).drop("_deal")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII texts take Spark's fast ``lower``."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

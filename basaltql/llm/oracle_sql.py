@@ -68,7 +68,7 @@ r AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, h, max(page_id) OVE
 SELECT page_id, payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          ((('0x' || substring(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
-       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> response THEN response END AS refers_to
+       CASE WHEN response IS NULL OR page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to
 FROM r
 """

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltql.llm.common import scratch_path, small, written
+from basaltql.llm.common import scratch_path, spread_join, written
 
 INDEX_SCHEMA = (
     "page_id long, url string, payload_digest string, record_type string, file string, offset long, length long"
@@ -71,10 +71,15 @@ def _parse(record: bytes, keep_payload: bool) -> tuple:
     return page("WARC-Record-ID"), size, digest, kind, page("WARC-Refers-To"), kept
 
 
+#: Schemes by which Hadoop knows a store that Arrow knows by another.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _filesystem(uri: str):
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition("://")
+    return FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{colon}{rest}")
 
 
 def write_archives(
@@ -96,15 +101,15 @@ def write_archives(
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", body.alias("html"), F.sha1(body).alias("_sha1"))
+    rows = pages.select("page_id", "url", body.alias("html"), F.sha1(body).alias("_sha1"), F.xxhash64("page_id", "url").alias("_row"))
     copies = (
         rows.where(F.octet_length("html") >= min_revisit_bytes)
         .groupBy("_sha1")
         .agg(F.max("page_id").alias("_response"), F.count("*").alias("_n"))
         .where("_n > 1 AND _response IS NOT NULL")
-        .select(F.col("_sha1").alias("_copy"), "_response")
+        .select("_sha1", "_response")
     )
-    rows = rows.join(small(written(copies, "copies")), F.col("_sha1") == F.col("_copy"), "left").select(
+    rows = spread_join(rows, written(copies, "copies"), "_sha1", "_row", "left").select(
         "page_id",
         "url",
         "html",
