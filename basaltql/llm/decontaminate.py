@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basaltql.llm.common import lower_ascii, small, written
+from basaltql.llm.common import lower_ascii, small, spread_join, written
 
 #: A word: a maximal run of digits, letters a-z (texts are lower-cased in A-Z first) and non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,7 +36,8 @@ def item_terms(items: DataFrame, key: str = "item_id", text: str = "text") -> Da
 def build_index(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Postings (term_id, row, pos, doc_id) of the words in ``vocabulary`` (term_id, word), written.
 
-    Texts are read once and nothing is shuffled while the vocabulary can be broadcast. Each document also has one
+    Texts are read once and nothing is shuffled while the vocabulary can be broadcast; beyond that a frequent
+    word is spread over tasks by row. Each document also has one
     posting of term_id -1 at the position after its last word, which alone carries its doc_id; so
     the index knows every document and its length.
     """
@@ -46,7 +47,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id", tex
         F.col(key).alias("_key"),
         F.concat(words_of(F.col(text)), F.array(F.lit(_END))).alias("w"),
     )
-    postings = rows.select("row", "_key", F.posexplode("w").alias("pos", "word")).join(small(terms, vocabulary.count()), "word")
+    postings = spread_join(rows.select("row", "_key", F.posexplode("w").alias("pos", "word")), terms, "word", "row", count=vocabulary.count())
     return written(postings.select("term_id", "row", "pos", F.when(F.col("term_id") < 0, F.col("_key")).alias("doc_id")), "postings")
 
 
@@ -72,14 +73,14 @@ def phrase_runs(index: DataFrame, terms: DataFrame, window: int) -> DataFrame:
 
     need_of = terms.select("item", need.alias("need")).distinct()
     meets = (
-        index.join(small(anchors), "term_id")
+        spread_join(index, anchors, "term_id", "row")
         .groupBy("row", "item", (F.col("pos") - F.col("offset")).alias("diagonal"))
         .agg(F.count("*").alias("met"))
         .where(F.col("met") >= 2 if ANCHORS > 1 else F.lit(True))
     )
     if ANCHORS > 1:  # a window of one word has one anchor
         single = anchors.join(need_of.where("need = 1"), "item", "left_semi")
-        alone = index.join(small(written(single, "single")), "term_id").select("row", "item", (F.col("pos") - F.col("offset")).alias("diagonal"))
+        alone = spread_join(index, written(single, "single"), "term_id", "row").select("row", "item", (F.col("pos") - F.col("offset")).alias("diagonal"))
         meets = meets.select("row", "item", "diagonal").union(alone).distinct()
     candidates = written(meets, "candidates")
 
@@ -111,7 +112,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     ``items``: item_id, text. A document word inside an occurrence of a window of ``window`` consecutive item words
     (the whole item if shorter) is hit; items_sha256 is over the sorted, comma-joined item_ids found. Null
     and empty texts have no words; items without words are found nowhere. Repeated rows, of documents
-    or items, count each. Empty tables: no rows, or no hits.
+    or items, count each. Texts of any length are read whole. Other columns are not read. Empty tables: no rows, or no hits.
     """
     index, terms = _prepared(docs, items)
     runs = written(phrase_runs(index, terms, window), "runs")
@@ -144,20 +145,39 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, key:
     return docs.join(small(hit), F.col(key) == F.col("_hit"), "left_anti")
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, slack: int = 3, least: int = 8) -> DataFrame:
-    """(doc_id, item_id, n_matched): items of which at least ``least`` distinct words stand within ``slack`` places of one diagonal.
+def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, least: int = 8, slack: int = 3) -> DataFrame:
+    """(doc_id, item_id, n_matched): items with a window whose words stand nearly together in a document, from the index.
 
-    Finds quotations with words put in, left out or changed: postings are counted in diagonal bands of width
-    ``slack`` + 1, overlapping by half. An item of fewer than ``least`` words must be found whole.
+    Of ``window`` consecutive item words (the whole item if shorter) at least ``least`` (all, if fewer) must stand in the
+    document on diagonals, position less offset, that differ by at most ``slack`` in all: quotations with words
+    put in, left out or changed. n_matched is the most words of a window that do. Exact: of the window - least + 2
+    rarest words of a window at least two are among the matched, so their postings alone give the candidates.
+    Documents and items are told apart by row, as in ``contamination``; a pair is one row.
     """
     index, terms = _prepared(docs, items)
-    width = slack + 1
-    met = index.join(small(terms.select("item", "item_id", "n", "offset", "term_id")), "term_id")
+    width = F.least("n", F.lit(window))
+    needed = F.least("n", F.lit(least))
+    counts = written(index.groupBy("term_id").count(), "term_counts")
+    rated = terms.join(small(counts), "term_id", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("offset") - width + 1), F.least(F.col("offset"), F.col("n") - width)))
+    by_rarity = Window.partitionBy("item", "k").orderBy("count", "offset")
+    ranked = rated.select("*", starts.alias("k")).withColumn("rank", F.row_number().over(by_rarity))
+    anchors = ranked.where(F.col("rank") <= width - needed + F.least(needed, F.lit(2)))
+    anchors = written(anchors.select("item", "offset", "term_id", F.least(needed, F.lit(2)).alias("two")).distinct(), "near_anchors")
+
     diagonal = F.col("pos") - F.col("offset")
-    bands = F.explode(F.array(F.floor(diagonal / width) * 2, F.floor((diagonal + width / 2) / width) * 2 + 1))
-    banded = met.select("row", "item", "item_id", "n", "offset", bands.alias("band"))
-    found = banded.groupBy("row", "item", "item_id", "n", "band").agg(F.count_distinct("offset").alias("n_matched"))
-    found = found.where(F.col("n_matched") >= F.least("n", F.lit(least)))
+    shifted = F.explode(F.sequence(diagonal - slack, diagonal)).alias("low")  # every band of diagonals that the posting is in
+    met = spread_join(index.where("term_id >= 0").select("term_id", "row", "pos"), anchors, "term_id", "row")
+    met = met.select("row", "item", "offset", "two", shifted).groupBy("row", "item", "low")
+    candidates = written(met.agg(F.count_distinct("offset").alias("met"), F.first("two").alias("two")).where("met >= two").select("row", "item", "low"), "near_candidates")
+
+    rows = written(candidates.select("row").distinct(), "near_rows")
+    postings = _narrowed(index.where("term_id >= 0").select("term_id", "row", "pos"), "row", rows)
+    every = F.explode(F.sequence(F.col("low") + F.col("offset"), F.col("low") + F.col("offset") + slack)).alias("pos")
+    expected = candidates.join(small(terms), "item").select("row", "item", "item_id", "low", "n", "offset", "term_id", every)
+    matched = expected.join(postings, ["row", "pos", "term_id"]).select("row", "item", "item_id", "low", "n", "offset").distinct()
+    windows = matched.select("row", "item", "item_id", "low", "n", starts.alias("k"))
+    found = windows.groupBy("row", "item", "item_id", "low", "n", "k").agg(F.count("*").alias("n_matched")).where(F.col("n_matched") >= needed)
     best = found.groupBy("row", "item", "item_id").agg(F.max("n_matched").alias("n_matched"))
     named = index.where("term_id = -1").select("row", "doc_id")
     return best.join(named, "row").select("doc_id", "item_id", "n_matched")

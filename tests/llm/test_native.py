@@ -1,6 +1,7 @@
 """Sharding and decontamination against brute force, with the edge cases that their docstrings define."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -116,7 +117,49 @@ def test_drop_contaminated_keeps_columns_and_null_keys(spark):
 def test_index_and_proximity(spark):
     item = spark.createDataFrame([(1, "k1 k2 k3 k4 k5 k6 k7 k8 k9 k10")], "item_id long, text string")
     frame = docs_of(spark, [(1, "z k1 k2 k3 new k4 k5 k6 k7 k8 k9 k10"), (2, "k1 k5 k9 other words here"), (3, "k10 k9 k8 k7 k6 k5 k4 k3 k2 k1")])
-    assert [(r["doc_id"], r["item_id"]) for r in proximity_matches(frame, item).collect()] == [(1, 1)]
+    assert [(r["doc_id"], r["item_id"], r["n_matched"]) for r in proximity_matches(frame, item).collect()] == [(1, 1, 10)]
     vocabulary = item_terms(item).select(F.col("offset").cast("long").alias("term_id"), "word")
     index = build_index(frame, vocabulary)
     assert index.where("term_id = -1").count() == 3 and index.where("term_id = 0").count() == 3
+
+
+def slow_proximity(docs, items, window, least, slack):
+    out = {}
+    for d, text in docs:
+        doc = (text or "").split()
+        for i, body in items:
+            words = (body or "").split()
+            width = min(window, len(words))
+            best = 0
+            for k in range(len(words) - width + 1 if words else 0):
+                for low in range(-len(words) - slack, len(doc)):
+                    hit = sum(any(0 <= low + s + o < len(doc) and doc[low + s + o] == words[o] for s in range(slack + 1)) for o in range(k, k + width))
+                    best = max(best, hit)
+            if words and best >= min(least, len(words)):
+                out[d, i] = best
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_proximity_against_brute_force(spark, monkeypatch, broadcast):
+    from basaltql.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(8)
+    word = lambda n: "v" + str(rng.randint(0, n))
+    items = [(i, " ".join(word(30) for _ in range(n))) for i, n in enumerate([12, 11, 9, 5, 1, 6])] + [(90, None), (91, "")]
+    docs = [(100, "p0 p1 p2"), (101, None), (102, "")]
+    # one whose matches lie on four diagonals, within the slack
+    items.append((80, "a0 a1 a2 a3 a4 a5 a6 a7 a8 a9"))
+    docs.append((103, "x a0 a1 y a2 a3 y a4 a5 y a6 a7"))
+    for d in range(14):
+        words = [word(30) for _ in range(12)]
+        for w in items[d % 6][1].split():
+            if rng.random() < 0.85:
+                words.append(w)
+            if rng.random() < 0.2:
+                words.append(word(30))
+        docs.append((d, " ".join(words + [word(30) for _ in range(5)])))
+    for window, least, slack in ((10, 8, 3), (6, 5, 0), (4, 1, 1)) if broadcast else ((10, 8, 3),):
+        found = proximity_matches(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"), window, least, slack)
+        assert {(r["doc_id"], r["item_id"]): r["n_matched"] for r in found.collect()} == slow_proximity(docs, items, window, least, slack)

@@ -118,10 +118,60 @@ def test_languages_held_out(spark):
 def test_filter_has_no_false_negatives():
     rng = np.random.default_rng(0)
     hashes = rng.integers(0, 2**63, 5000).astype(np.uint64)
-    members = [[i % 70] for i in range(5000)]
-    model = langid.build_filter([f"l{i:02d}" for i in range(70)], hashes, members, 0)
+    members = np.arange(5000) % 70
+    names, slots = [f"l{i:02d}" for i in range(70)], langid.slots_for(5000 // 70 + 1)
+    parts = [langid.set_bits(hashes[i : i + 999], members[i : i + 999], slots) for i in range(0, 5000, 999)]
+    parts.append(langid.set_bits(hashes[:7], np.full(7, 69), slots))  # n-grams of two languages
+    model = langid.build_filter(names, slots, *map(np.concatenate, zip(*parts, strict=True)), 0)
     counts = model.counts(hashes[::70])  # all of language 0
-    assert counts[0] == len(hashes[::70]) and counts[1:].max() <= 3
+    assert counts[0] == len(hashes[::70]) and counts[1:69].max() <= 3
+    assert model.counts(hashes[:7])[69] == 7 and all(model.counts(hashes[i : i + 1])[i] == 1 for i in range(70))
+
+
+@pytest.mark.parametrize("piece", [langid._PIECE, 5, 64])
+def test_grams_of_pieces_are_those_of_the_whole_text(monkeypatch, piece):
+    monkeypatch.setattr(langid, "_PIECE", piece)
+    letters, rng = langid._Letters(), random.Random(piece)
+    for _ in range(60):
+        text = "".join(rng.choice("abÄ ß 12,.\n中𝒳") for _ in range(rng.randint(0, 90)))
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        line = f" {' '.join(words)} "
+        want = sorted(line[i : i + n] for n in langid.GRAMS for i in range(len(line) - n + 1)) if words else []
+        got = [h for part in langid.gram_hashes(text, letters) for h in part.tolist()]
+        known = {}
+        for gram in set(want):  # the hash of an n-gram by itself, by the same rule
+            h = len(gram)
+            for c in gram:
+                h = (h ^ (0 if c == " " else ord(c))) * int(langid._BASE) % (1 << 64)
+                h ^= h >> 29
+            known[gram] = h
+        assert sorted(got) == sorted(known[g] for g in want)
+
+
+def test_popcounts_against_sets(spark):
+    """The filter holds, for every language, just the n-grams that stand often enough in its training rows."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abcde") for _ in range(4)) for _ in range(12)), f"l{i % 4}") for i in range(200)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    letters, total = langid._Letters(), [{} for _ in range(4)]
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            for part in langid.gram_hashes(text, letters):
+                for h in part.tolist():
+                    total[int(lang[1])][h] = total[int(lang[1])].get(h, 0) + 1
+    grams = np.array(sorted({h for t in total for h in t}), dtype=np.uint64)
+    masks = model.masks(grams)[0]
+    several = 0
+    for h, mask in zip(grams.tolist(), masks.tolist(), strict=True):
+        want = sum(1 << k for k in range(4) if total[k].get(h, 0) >= max(langid.MIN_COUNT, langid.MIN_RATE * sum(total[k].values())))
+        assert mask & want == want
+        several += want.bit_count() == 4
+    exact = sum(max(langid.MIN_COUNT, langid.MIN_RATE * sum(t.values())) <= n for t in total for n in t.values())
+    assert several > 100 and sum(m.bit_count() for m in masks.tolist()) <= exact + 0.02 * 4 * len(grams)
+    again = spark.createDataFrame(rows[:3] * 2 + [(7, "abcd " * 200_000, "l0")], "doc_id long, text string, lang string")
+    again = again.selectExpr("*", "lang AS score", "text AS lang_pred")
+    got = langid.predict_languages(again, model).collect()
+    assert len(got) == 7 and len({(r["doc_id"], r["lang_pred"], r["score"]) for r in got}) == 4
 
 
 # op6
@@ -240,7 +290,9 @@ def test_plan_uses_every_piece_once():
     rng = random.Random(1)
     for _ in range(20):
         h = {rng.randint(1, 64): rng.randint(1, 300) for _ in range(rng.randint(1, 40))}
-        planned = packing.plan(h, 64)
+        report = {}
+        planned = packing.plan(h, 64, report)
+        assert report["solved"] + report["greedy"] == report["pieces"] == sum(h.values())
         used: dict[int, int] = {}
         for lengths, n in planned:
             assert n > 0 and sum(lengths) <= 64
@@ -275,17 +327,66 @@ def test_severity(spark):
     unseen = [(900, clean(50)), (901, clean(20) + " Grobian! schuftlein schufterei"), (902, None), (903, "")]
     marks = spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit_severity(docs_of(spark, rows), marks)
-    assert list(model.thresholds) == sorted(model.thresholds) and len(model.thresholds) == 2
+    assert len(model.thresholds) == 1  # binary labels: two grades
     got = {r["doc_id"]: r for r in toxicity.score_severity(docs_of(spark, rows + unseen), model).collect()}
     assert np.mean([got[i]["toxic"] == (i % 8 == 0) for i in range(400)]) > 0.98
     assert [got[i]["toxic"] for i in (900, 901, 902, 903)] == [False, True, False, False]
-    assert got[32]["expected_severity"] < got[4 * 8]["expected_severity"] + 1e-9 and 0 <= got[901]["expected_severity"] <= 2
+    assert all(abs(r["expected_severity"] - r["p_toxic"]) < 1e-12 and 0 <= r["p_toxic"] <= 1 for r in got.values())
     kept = toxicity.drop_toxic(docs_of(spark, rows + unseen), model)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["toxic"]}
     nothing = toxicity.fit_severity(docs_of(spark, []), marks)
     assert not any(r["toxic"] for r in toxicity.score_severity(docs_of(spark, unseen), nothing).collect())
 
 
+def test_severity_of_graded_labels(spark):
+    """Grades 0 to 3, by how strong a word is said: expected severity rises with the grade, on rows not learned from as well."""
+    rng = random.Random(11)
+    strong = [[], ["grumpily", "sulkish"], ["nastier", "spiteful"], ["vilest", "hateful"]]
+
+    def text(grade):
+        said = [rng.choice("abcdefghij") + rng.choice("klmnop") + rng.choice("qrst") for _ in range(30)]
+        return " ".join(said + [rng.choice(w) for g in range(1, grade + 1) for w in [strong[g]]])
+
+    rows = [(i, text(i % 4)) for i in range(600)]
+    marks = spark.createDataFrame([(i, i % 4) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit_severity(docs_of(spark, rows), marks)
+    assert len(model.thresholds) == 3 and list(model.thresholds) == sorted(model.thresholds)
+    unseen = [(10_000 + i, text(i % 4)) for i in range(200)]
+    twice = docs_of(spark, rows + unseen + unseen[:1]).selectExpr("*", "text AS grade")
+    got = toxicity.score_severity(twice, model).collect()
+    assert len(got) == 801
+    mean = [np.mean([r["expected_severity"] for r in got if r["doc_id"] >= 10_000 and r["doc_id"] % 4 == g]) for g in range(4)]
+    assert all(a + 0.5 < b for a, b in zip(mean, mean[1:], strict=False))
+    assert np.mean([r["grade"] == r["doc_id"] % 4 for r in got]) > 0.9
+    assert all(r["toxic"] == (r["p_toxic"] >= 0.5) for r in got)
+    long = toxicity.score_severity(docs_of(spark, [(1, "clean " * 300_000 + "vilest")]), model).first()
+    assert long["expected_severity"] > 0
+    none = toxicity.fit_severity(docs_of(spark, rows), marks.limit(0))
+    assert not any(r["toxic"] for r in toxicity.score_severity(docs_of(spark, unseen), none).collect())
+
+
+def test_ordinal_gradient_against_differences():
+    """At the fitted point, no weight or threshold can be moved to a better penalised likelihood."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2, (300, 4))
+    grades = np.clip(x[:, 0] + x[:, 1] + (rng.random(300) < 0.2), 0, 2)
+    rows, cols = np.nonzero(x)
+    w, theta = toxicity.fit_ordinal(rows, cols, grades, 4)
+
+    def loss(w, theta):
+        above = 1 / (1 + np.exp(-((x @ w)[:, None] - theta)))
+        edges = np.hstack([np.ones((300, 1)), above, np.zeros((300, 1))])
+        return -np.log(edges[np.arange(300), grades] - edges[np.arange(300), grades + 1]).mean() + 1e-4 / 2 * (w**2).sum() / 4**0.5
+
+    best = loss(w, theta)
+    for i in range(4):
+        for step in (-0.05, 0.05):
+            assert loss(w + step * np.eye(4)[i], theta) > best - 1e-6
+    for i in range(2):
+        for step in (-0.05, 0.05):
+            assert loss(w, theta + step * np.eye(2)[i]) > best - 1e-6
+
+
 def test_ordinal_gradient_orders_thresholds():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, (600, 3))
