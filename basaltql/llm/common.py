@@ -41,14 +41,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/llm-{uuid.uuid4().hex}/{name}"
 
 
+#: Folders of the tables that ``written`` has left, oldest first.
+_left: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, so lost executors redo nothing before it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _left.append(path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_mark() -> int:
+    """A place in the order of written tables, for ``sweep``."""
+    return len(_left)
+
+
+def sweep(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Delete the tables written after the mark ``since``, but for the last ``keep``: nothing may be read from them any more."""
+    gone = _left[since : len(_left) - keep]
+    del _left[since : since + len(gone)]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in gone:
+        path = hadoop(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark a written table for broadcast if it is proven small; else it stays an ordinary join side."""
     n = df.count() if rows is None else rows

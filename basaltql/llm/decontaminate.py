@@ -137,12 +137,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without the keys of contaminated ones. Rows of null key stay, as nothing names them."""
-    read = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    hit = contamination(read, items, window).where("contaminated AND doc_id IS NOT NULL")
-    hit = written(hit.select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return docs.join(small(hit), F.col(key) == F.col("_hit"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without contaminated ones.
+
+    Rows are told apart by a number in a written copy of ``docs``, so null and repeated keys are judged like any other.
+    """
+    copy = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    read = copy.select(F.col("_row").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    hit = contamination(read, items, window).where("contaminated")
+    hit = written(hit.select(F.col("doc_id").alias("_hit")), "contaminated")
+    return copy.join(small(hit), F.col("_row") == F.col("_hit"), "left_anti").drop("_row")
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, least: int = 8, slack: int = 3) -> DataFrame:
