@@ -1,14 +1,17 @@
 """Corpus pipeline: documents to packed training sequences, in stages that each call one operator.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the
-next stage's docs. All but the last return the columns of documents.
+next stage's docs. All but the last return the columns of documents, others that docs has included.
+
+Rows are judged one by one or by row numbers, so null and repeated doc_ids are judged like any other. Null and empty texts have no features (not toxic), no words (they fail the
+quality rules), one shingle set (one stays), no benchmark words, and one token. Texts are read whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltql.llm.common import written
+from basaltql.llm.common import scratch_mark, sweep, written
 from basaltql.llm.decontaminate import drop_contaminated
 from basaltql.llm.packing import pack
 from basaltql.llm.quality import drop_low_quality
@@ -54,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed sequences. What a stage wrote on its way goes when the next one has written its rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        mark = scratch_mark()
         docs = written(stage(spark, docs, sf_dir), name)
+        sweep(spark, mark, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
