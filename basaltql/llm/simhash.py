@@ -14,11 +14,13 @@ fingerprints that differ in k bits of a family differ by at most k in every coor
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ REFERENCES = 16
 CANDIDATE_COST = 0.08
 #: Earlier rows of its bucket that a row meets in the first pass, and how many of the near ones it is linked with there.
 LOOK = 256
-CHAIN = 2
+CHAIN = 1
 #: Rows of a bucket that the second pass holds against the others in one group.
 SLOT_ROWS = 4096
 _PIECE = 65_536
@@ -106,7 +108,8 @@ _PIVOTS = np.array([reference(i) for i in range(REFERENCES)], dtype=np.uint64)
 class PivotTable:
     """Distances of fingerprints of ``words`` 64-bit words to the references, over the bits of each of ``families``."""
 
-    def __init__(self, words: int, families: list[list[int]]):
+    def __init__(self, words: int, families: list[list[int]], first: int = 0):
+        """first: the number of the first family, which its keys depend on."""
         pivots = np.array([[reference(w * REFERENCES + i) for w in range(words)] for i in range(REFERENCES)], dtype="<u8")
         bits = np.unpackbits(pivots.view(np.uint8).reshape(REFERENCES, -1), axis=1, bitorder="little").astype(np.float32)
         inside = np.zeros((64 * words, len(families), 1), dtype=np.float32)
@@ -115,8 +118,8 @@ class PivotTable:
         # the distance over a family: the pivot's set bits there, and for each set bit of the fingerprint 1 or -1
         self.base = (inside * bits.T[:, None, :]).sum(axis=0).reshape(-1)
         self.signs = (inside * (1 - 2 * bits.T[:, None, :])).reshape(64 * words, -1)
-        draw = np.random.default_rng(SEED)
-        self.factors = draw.integers(0, 1 << 64, (len(families), REFERENCES), dtype=np.uint64) | np.uint64(1)
+        draw = lambda f: np.random.default_rng([SEED, f]).integers(0, 1 << 64, REFERENCES, dtype=np.uint64)
+        self.factors = np.stack([draw(first + f) for f in range(len(families))]) | np.uint64(1)
 
     def distances(self, fps: np.ndarray) -> np.ndarray:
         """(rows, families, references) for ``fps`` (rows, words)."""
@@ -171,16 +174,17 @@ def _near(a: str, b: str, radius: int) -> Column:
 _PAIR, _AGAIN, _COUNTS = 0, 1, 2
 
 
-def _scanned(bucketed: DataFrame, radius: int) -> DataFrame:
-    """(kind, a, b) of ``bucketed`` (key, id, sketch), range-dealt and sorted by key and id: the first pass.
+def _scanned(bucketed: DataFrame, radius: int, chain: int) -> DataFrame:
+    """(kind, a, b) of ``bucketed`` (key, id, sketch, comp), range-dealt and sorted by key and id: one pass.
 
-    A row meets the ``LOOK`` rows before it in its bucket and is paired with the first ``CHAIN`` near ones. Buckets in
-    which that may leave pairs out are told for the second pass: those with more near ones or more rows, and the
-    first and the last of a task, which other tasks may share. The third kind counts candidates and survivors.
+    A row meets the ``LOOK`` rows before it in its bucket that are of other components (null: the row alone) and is paired
+    with the first ``chain`` near ones. Buckets in which that may leave pairs out are told: those with more near
+    ones or more rows, and the first and the last of a task, which other tasks may share. The third kind counts
+    candidates and survivors.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64)] * 3
+        held = [np.zeros(0, dtype=np.int64)] * 4
         first = True
 
         def out(kind: int, a, b) -> pa.RecordBatch:
@@ -191,7 +195,8 @@ def _scanned(bucketed: DataFrame, radius: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             old = len(held[0])
-            key, ids, sketch = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
+            comps = pc.coalesce(batch.column(3), batch.column(1))
+            key, ids, sketch, comp = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, [*batch.columns[:3], comps], strict=True))
             words = sketch.view(np.uint64)
             again = [key[old : old + 1]] if first else []
             first = False
@@ -202,12 +207,13 @@ def _scanned(bucketed: DataFrame, radius: int) -> DataFrame:
                 at = at[key[at] == key[at - back]]
                 if not len(at):
                     break
-                near, passed = near_pairs(words[at], words[at - back], radius)
-                tested, survived = tested + len(at), survived + passed
-                hit = at[near]
-                fresh = hit[hits[hit] < CHAIN]
+                apart = at[comp[at] != comp[at - back]]
+                near, passed = near_pairs(words[apart], words[apart - back], radius)
+                tested, survived = tested + len(apart), survived + passed
+                hit = apart[near]
+                fresh = hit[hits[hit] < chain]
                 pairs.append(np.stack([ids[fresh - back], ids[fresh]], axis=1))
-                again.append(key[hit[hits[hit] >= CHAIN]])
+                again.append(key[hit[hits[hit] >= chain]])
                 hits[hit] += 1
             else:
                 again.append(key[at])
@@ -216,19 +222,13 @@ def _scanned(bucketed: DataFrame, radius: int) -> DataFrame:
             yield out(_PAIR, found[:, 0], found[:, 1])
             yield out(_AGAIN, flagged, np.zeros(len(flagged)))
             yield out(_COUNTS, [tested], [survived])
-            held = [c[-LOOK:] for c in (key, ids, sketch)]
+            held = [c[-LOOK:] for c in (key, ids, sketch, comp)]
         if len(held[0]):
             yield out(_AGAIN, held[0][-1:], [0])
 
     return bucketed.mapInArrow(run, "kind int, a long, b long")
 
 
-def _labelled(nodes: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
-    """``nodes`` with ``out``: the root of ``column`` in ``labels``, or else itself."""
-    roots = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-    return nodes.join(roots, F.col(column) == F.col("_n"), "left").withColumn(out, F.coalesce("_r", column)).drop("_n", "_r")
-
-
 def linked(
     points: DataFrame,
     families: list[list[int]],
@@ -236,46 +236,75 @@ def linked(
     verify: Callable[[DataFrame], DataFrame] | None = None,
     report: dict | None = None,
     n_words: int = 1,
+    lead: int = 0,
+    narrow: Callable[[DataFrame], tuple[DataFrame, Column]] | None = None,
 ) -> DataFrame:
     """(id, root): points whose fingerprints share a bucket and are linked have the same root.
 
     ``points``: id (distinct), words (array of ``n_words`` longs); the coordinates and the radius of the tests are those of the first word,
-    ``verify`` takes and returns (a, b) for further tests. ``report`` receives the pairs left after each step of the first pass.
+    ``verify`` takes and returns (a, b) for further tests; ``narrow`` takes the ids (id) that are searched again and returns
+    further columns of them and a condition on x and y that linked pairs meet. ``report`` receives the pairs left after each step of the passes.
 
-    Near copies are first linked along their buckets, a few edges a member, and only buckets that then still hold
-    several components are searched for pairs of different ones; so a group of near copies never has
-    all its pairs formed, and no link between components is lost. There, every row meets the rows that are not of the
-    bucket's largest component, in groups of ``SLOT_ROWS``.
+    Near copies are linked along their buckets, a few edges a member: first in ``lead`` of the families (0: all), then in
+    rounds of others, where rows of one component no longer meet. Only buckets that may still hold pairs are searched
+    again: every row meets those that are not of the bucket's largest component, in groups of ``SLOT_ROWS``. So a group of
+    near copies of any size never has all its pairs formed, and no link between components is lost.
     """
     verify = verify or (lambda pairs: pairs)
 
-    def bucketed(frame: DataFrame) -> DataFrame:
+    def bucketed(frame: DataFrame, first: int, last: int) -> DataFrame:
+        some = families[first:last]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = PivotTable(n_words, families)
+            table = PivotTable(n_words, some, first)
             for batch in batches:
                 words = batch.column(1).flatten().to_numpy().reshape(-1, n_words)
                 keys = table.keys(words.view(np.uint64)).view(np.int64)
-                for f in range(len(families)):
+                for f in range(len(some)):
                     columns = [pa.array(np.ascontiguousarray(keys[:, f])), batch.column(0), pa.array(np.ascontiguousarray(words[:, 0])), batch.column(2)]
                     yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "sketch", "comp"])
 
         return frame.select("id", "words", "comp").mapInArrow(run, "key long, id long, sketch long, comp long")
 
-    dealt = bucketed(points.withColumn("comp", F.col("id"))).select("key", "id", "sketch").repartitionByRange("key", "id")
-    scanned = written(_scanned(dealt.sortWithinPartitions("key", "id"), radius), "scanned")
-    pairs = scanned.where(F.col("kind") == _PAIR).select("a", "b").distinct()
-    if report is not None:
-        counts = scanned.where(F.col("kind") == _COUNTS).agg(F.sum("a"), F.sum("b")).first()
-        report |= {"candidates": counts[0] or 0, "survivors": counts[1] or 0, "linked": pairs.count()}
-    first = components(verify(pairs))
-    labelled = written(_labelled(points.select("id", "words"), first, "id", "comp"), "labelled")
-    again = written(scanned.where(F.col("kind") == _AGAIN).select(F.col("a").alias("key")).distinct(), "again")
+    def scan(frame: DataFrame, first: int, last: int) -> DataFrame:
+        dealt = bucketed(frame, first, last).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+        scanned = written(_scanned(dealt, radius, CHAIN), "scanned")
+        if report is not None:
+            counts = scanned.where(F.col("kind") == _COUNTS).agg(F.sum("a"), F.sum("b")).first()
+            for name, n in zip(("candidates", "survivors", "linked"), (*counts, scanned.where(F.col("kind") == _PAIR).distinct().count()), strict=True):
+                report[name] = report.get(name, 0) + (n or 0)
+        return scanned
+
+    def merged(frame: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``frame`` (id, words, comp; null: alone) with the components that verified pairs join."""
+        comps = frame.select("id", F.coalesce("comp", "id").alias("c"))
+        a, b = (comps.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+        found = verify(pairs.distinct())
+        roots = components(found.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        up = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        joined = frame.join(up, F.coalesce("comp", "id") == F.col("_n"), "left")
+        return written(joined.select("id", "words", F.coalesce("_r", "comp").alias("comp")), "labelled")
+
+    labelled, told, at = points.select("id", "words", F.lit(None).cast("long").alias("comp")), [], 0
+    while at < len(families):  # rounds of ``lead`` families, then of as many as went before
+        upto = min(len(families), at + (max(at, lead) or len(families)))
+        scanned = scan(labelled, at, upto)
+        labelled = merged(labelled, scanned.where(F.col("kind") == _PAIR).select("a", "b"))
+        told.append(scanned.where(F.col("kind") == _AGAIN).select(F.col("a").alias("key")))
+        at = upto
+    roots = labelled.select("id", F.coalesce("comp", "id").alias("root"))
+    again = written(reduce(DataFrame.union, told).distinct(), "again")
     if again.isEmpty():
-        return labelled.select("id", F.col("comp").alias("root"))
+        return roots
 
-    slim = bucketed(labelled).join(small(again), "key", "left_semi")
+    whole = labelled.withColumn("comp", F.coalesce("comp", "id"))
+    slim = bucketed(whole, 0, len(families)).join(small(again), "key", "left_semi")
     several = slim.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rows = written(bucketed(labelled).join(small(written(several, "several")), "key", "left_semi"), "several_rows")
+    rows = written(bucketed(whole, 0, len(families)).join(small(written(several, "several")), "key", "left_semi"), "several_rows")
+    fits = F.lit(True)
+    if narrow is not None:
+        known, fits = narrow(rows.select("id").distinct())
+        rows = written(rows.join(small(written(known, "known")), "id"), "narrowed_rows")
     by_component = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     buckets = by_component.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
     buckets = written(buckets.select("key", "main", F.ceil(F.col("n") / SLOT_ROWS).cast("int").alias("slots")), "buckets")
@@ -285,11 +314,9 @@ def linked(
     strangers = mixed.where("comp <> main").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.slot") == F.col("y.slot"))
     other = (F.col("x.comp") < F.col("y.comp")) | ((F.col("x.comp") > F.col("y.comp")) & (F.col("x.comp") == F.col("x.main")))
-    met = all_rows.alias("x").join(strangers.alias("y"), same & other & _near("x", "y", radius))
-    found = verify(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    x, y = (labelled.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
-    second = components(found.join(x, "a").join(y, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    return _labelled(labelled, second, "comp", "root").select("id", "root")
+    met = all_rows.alias("x").join(strangers.alias("y"), same & other & fits & _near("x", "y", radius))
+    last = merged(labelled, met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    return last.select("id", F.coalesce("comp", "id").alias("root"))
 
 
 def linked_fingerprints(points: DataFrame, radius: int, report: dict | None = None) -> DataFrame:

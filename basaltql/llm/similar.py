@@ -15,7 +15,7 @@ from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basaltql.llm.common import small, written
@@ -26,6 +26,8 @@ WORDS = 4
 MISS = 1e-3
 #: Chance members of a bucket beyond which families take more bits.
 BUCKET_ROWS = 64
+#: Families that near copies are first linked in, before all are searched for what remains.
+LEAD = 8
 LEAST_BITS = 18
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -70,9 +72,9 @@ def bit_families(percent: int, count: int) -> list[list[int]]:
 
 
 def radius_of(percent: int, bits: int) -> int:
-    """Differing bits that a pair at the limit exceeds with a chance of about 1e-5: 4.5 standard deviations over the mean."""
+    """Differing bits that a pair at the limit exceeds with a chance of about 3e-4: 3.5 standard deviations over the mean."""
     p = differing_share(percent)
-    return ceil(bits * p + 4.5 * (bits * p * (1 - p)) ** 0.5)
+    return ceil(bits * p + 3.5 * (bits * p * (1 - p)) ** 0.5)
 
 
 def _marks(numbered: DataFrame, shingle: int) -> DataFrame:
@@ -121,8 +123,21 @@ def similar_sets(points: DataFrame, numbered: DataFrame, shingle: int, percent:
         both = sized.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("x", "y")))
         return written(both.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b"), "links")
 
+    def narrow(ids: DataFrame) -> tuple[DataFrame, Column]:
+        """The sizes n of the sets and of their parts s that any other of them has too: a pair shares at most the lesser s.
+
+        That leaves out, without forming the pair, texts that were changed too much to be linked to any copy of their group.
+        """
+        wanted = written(points.select("fp", "row", "n").join(ids.withColumnRenamed("id", "fp"), "fp"), "wanted")
+        sets = _sets(numbered.join(small(wanted.select("fp", "row")), "row").select("fp", "text"), shingle)
+        own = sets.select("fp", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.min("fp").alias("fp")).where("m = 1")
+        own = own.groupBy(F.col("fp").alias("_fp")).agg(F.count("*").alias("own"))
+        sizes = wanted.join(own, F.col("fp") == F.col("_fp"), "left")
+        most = F.least("x.s", "y.s")
+        return sizes.select(F.col("fp").alias("id"), "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s")), most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent
+
     families = bit_families(percent, points.count())
-    roots = linked(points.select(F.col("fp").alias("id"), "words"), families, radius_of(percent, 64), verify, report, WORDS)
+    roots = linked(points.select(F.col("fp").alias("id"), "words"), families, radius_of(percent, 64), verify, report, WORDS, LEAD, narrow)
     return roots.select(F.col("id").alias("fp"), "root")
 
 
