@@ -178,7 +178,7 @@ def _scanned(bucketed: DataFrame, radius: int, chain: int) -> DataFrame:
     """(kind, a, b) of ``bucketed`` (key, id, sketch, comp), range-dealt and sorted by key and id: one pass.
 
     A row meets the ``LOOK`` rows before it in its bucket that are of other components (null: the row alone) and is paired
-    with the first ``chain`` near ones. Buckets in which that may leave pairs out are told: those with more near
+    with the first ``chain`` near ones, each of which is so paired ``chain`` times. Buckets in which that may leave pairs out are told: those with more near
     ones or more rows, and the first and the last of a task, which other tasks may share. The third kind counts
     candidates and survivors.
     """
@@ -200,7 +200,8 @@ def _scanned(bucketed: DataFrame, radius: int, chain: int) -> DataFrame:
             words = sketch.view(np.uint64)
             again = [key[old : old + 1]] if first else []
             first = False
-            hits, pairs, tested, survived = np.zeros(len(key), dtype=np.int32), [], 0, 0
+            hits, given = np.zeros((2, len(key)), dtype=np.int32)
+            pairs, tested, survived = [], 0, 0
             at = np.arange(old, len(key))
             for back in range(1, LOOK + 1):
                 at = at[at >= back]
@@ -211,10 +212,12 @@ def _scanned(bucketed: DataFrame, radius: int, chain: int) -> DataFrame:
                 near, passed = near_pairs(words[apart], words[apart - back], radius)
                 tested, survived = tested + len(apart), survived + passed
                 hit = apart[near]
-                fresh = hit[hits[hit] < chain]
+                free = (hits[hit] < chain) & (given[hit - back] < chain)
+                fresh = hit[free]
                 pairs.append(np.stack([ids[fresh - back], ids[fresh]], axis=1))
-                again.append(key[hit[hits[hit] >= chain]])
+                again.append(key[hit[~free]])
                 hits[hit] += 1
+                given[hit - back] += 1
             else:
                 again.append(key[at])
             found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), dtype=np.int64)
