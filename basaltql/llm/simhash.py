@@ -161,21 +161,23 @@ def _table(word: Column) -> list[Column]:
     return packed
 
 
-def _near(a: str, b: str, radius: int) -> Column:
-    """No coordinate differs by more than ``radius``, and (verified) neither do the bits."""
+def _near(a: str, b: str, radius: int, wide: int | None) -> Column:
+    """No coordinate differs by more than ``radius``, and (verified) neither do the bits, nor those of two words by more than ``wide``."""
     survives = F.lit(True)
     for half in ("p0", "p1"):
         for i in range(8):
             read = lambda side: F.shiftright(F.col(f"{side}.{half}"), 7 * i).bitwiseAND(F.lit(127))  # noqa: E731, B023
             survives = survives & (F.abs(read(a) - read(b)) <= radius)
-    return survives & (F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))) <= radius)
+    bits = F.bit_count(F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch")))
+    survives = survives & (bits <= radius)
+    return survives if wide is None else survives & (bits + F.bit_count(F.col(f"{a}.more").bitwiseXOR(F.col(f"{b}.more"))) <= wide)
 
 
 _PAIR, _AGAIN, _COUNTS = 0, 1, 2
 
 
-def _scanned(bucketed: DataFrame, radius: int, chain: int) -> DataFrame:
-    """(kind, a, b) of ``bucketed`` (key, id, sketch, comp), range-dealt and sorted by key and id: one pass.
+def _scanned(bucketed: DataFrame, radius: int, chain: int, wide: int | None) -> DataFrame:
+    """(kind, a, b) of ``bucketed`` (key, id, sketch, comp, with ``wide`` more), range-dealt and sorted by key and id: one pass.
 
     A row meets the ``LOOK`` rows before it in its bucket that are of other components (null: the row alone) and is paired
     with the first ``chain`` near ones, each of which is so paired ``chain`` times. Buckets in which that may leave pairs out are told: those with more near
@@ -184,7 +186,7 @@ def _scanned(bucketed: DataFrame, radius: int, chain: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64)] * 4
+        held = [np.zeros(0, dtype=np.int64)] * (4 if wide is None else 5)
         first = True
 
         def out(kind: int, a, b) -> pa.RecordBatch:
@@ -196,7 +198,9 @@ def _scanned(bucketed: DataFrame, radius: int, chain: int) -> DataFrame:
                 continue
             old = len(held[0])
             comps = pc.coalesce(batch.column(3), batch.column(1))
-            key, ids, sketch, comp = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, [*batch.columns[:3], comps], strict=True))
+            columns = [*batch.columns[:3], comps, *batch.columns[4:]]
+            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, columns, strict=True)]
+            key, ids, sketch, comp = held[:4]
             words = sketch.view(np.uint64)
             again = [key[old : old + 1]] if first else []
             first = False
@@ -210,6 +214,9 @@ def _scanned(bucketed: DataFrame, radius: int, chain: int) -> DataFrame:
                     break
                 apart = at[comp[at] != comp[at - back]]
                 near, passed = near_pairs(words[apart], words[apart - back], radius)
+                if wide is not None:
+                    both = sum(np.bitwise_count(w[apart[near]] ^ w[apart[near] - back]) for w in (words, held[4].view(np.uint64)))
+                    near[near] = both <= wide
                 tested, survived = tested + len(apart), survived + passed
                 hit = apart[near]
                 free = (hits[hit] < chain) & (given[hit - back] < chain)
@@ -225,7 +232,7 @@ def _scanned(bucketed: DataFrame, radius: int, chain: int) -> DataFrame:
             yield out(_PAIR, found[:, 0], found[:, 1])
             yield out(_AGAIN, flagged, np.zeros(len(flagged)))
             yield out(_COUNTS, [tested], [survived])
-            held = [c[-LOOK:] for c in (key, ids, sketch, comp)]
+            held = [c[-LOOK:] for c in held]
         if len(held[0]):
             yield out(_AGAIN, held[0][-1:], [0])
 
@@ -241,21 +248,27 @@ def linked(
     n_words: int = 1,
     lead: int = 0,
     narrow: Callable[[DataFrame], tuple[DataFrame, Column]] | None = None,
+    settle: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+    wide: int | None = None,
 ) -> DataFrame:
     """(id, root): points whose fingerprints share a bucket and are linked have the same root.
 
     ``points``: id (distinct), words (array of ``n_words`` longs); the coordinates and the radius of the tests are those of the first word,
-    ``verify`` takes and returns (a, b) for further tests; ``narrow`` takes the ids (id) that are searched again and returns
+    ``wide`` is the radius over the first two, ``verify`` takes and returns (a, b) for further tests; ``narrow`` takes the ids (id) that are searched again and returns
     further columns of them and a condition on x and y that linked pairs meet. ``report`` receives the pairs left after each step of the passes.
 
     Near copies are linked along their buckets, a few edges a member: first in ``lead`` of the families (0: all), then in
-    rounds of others, where rows of one component no longer meet. Only buckets that may still hold pairs are searched
-    again: every row meets those that are not of the bucket's largest component, in groups of ``SLOT_ROWS``. So a group of
+    rounds of others. Where near points need not be linked, those that a chain of near ones joins are a cell, and ``settle`` decides every cell at once in the first two rounds: it takes
+    (id, cell, part, comp), where points of one part or component are decided already, and returns the links (a, b) that join
+    components and the cells (cell) it leaves undecided. Rows of one cell, or of one component of such cells, no longer meet. Only buckets that may still hold pairs are searched
+    again: every row meets those that are not of the bucket's largest cell, in groups of ``SLOT_ROWS``. So a group of
     near copies of any size never has all its pairs formed, and no link between components is lost.
     """
     verify = verify or (lambda pairs: pairs)
+    names = ["key", "id", "sketch", "comp"] + ["more"] * (wide is not None)
 
     def bucketed(frame: DataFrame, first: int, last: int) -> DataFrame:
+        """``comp``: the rows of one need not meet."""
         some = families[first:last]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,36 +276,59 @@ def linked(
             for batch in batches:
                 words = batch.column(1).flatten().to_numpy().reshape(-1, n_words)
                 keys = table.keys(words.view(np.uint64)).view(np.int64)
+                sketch, more = (pa.array(np.ascontiguousarray(words[:, i])) for i in (0, min(1, n_words - 1)))
                 for f in range(len(some)):
-                    columns = [pa.array(np.ascontiguousarray(keys[:, f])), batch.column(0), pa.array(np.ascontiguousarray(words[:, 0])), batch.column(2)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "sketch", "comp"])
+                    columns = [pa.array(np.ascontiguousarray(keys[:, f])), batch.column(0), sketch, batch.column(2), more]
+                    yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 
-        return frame.select("id", "words", "comp").mapInArrow(run, "key long, id long, sketch long, comp long")
+        return frame.select("id", "words", "cell").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
     def scan(frame: DataFrame, first: int, last: int) -> DataFrame:
         dealt = bucketed(frame, first, last).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-        scanned = written(_scanned(dealt, radius, CHAIN), "scanned")
+        scanned = written(_scanned(dealt, radius, CHAIN, wide), "scanned")
         if report is not None:
             counts = scanned.where(F.col("kind") == _COUNTS).agg(F.sum("a"), F.sum("b")).first()
             for name, n in zip(("candidates", "survivors", "linked"), (*counts, scanned.where(F.col("kind") == _PAIR).distinct().count()), strict=True):
                 report[name] = report.get(name, 0) + (n or 0)
         return scanned
 
-    def merged(frame: DataFrame, pairs: DataFrame) -> DataFrame:
-        """``frame`` (id, words, comp; null: alone) with the components that verified pairs join."""
-        comps = frame.select("id", F.coalesce("comp", "id").alias("c"))
-        a, b = (comps.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-        found = verify(pairs.distinct())
-        roots = components(found.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    def joined(frame: DataFrame, pairs: DataFrame, label: str, out: str) -> DataFrame:
+        """``frame`` with ``out``: its ``label`` (null: alone), made one where ``pairs`` join two."""
+        named = frame.select("id", F.coalesce(label, "id").alias("c"))
+        a, b = (named.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+        roots = components(pairs.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
         up = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        joined = frame.join(up, F.coalesce("comp", "id") == F.col("_n"), "left")
-        return written(joined.select("id", "words", F.coalesce("_r", "comp").alias("comp")), "labelled")
-
-    labelled, told, at = points.select("id", "words", F.lit(None).cast("long").alias("comp")), [], 0
+        rows = frame.join(up, F.coalesce(label, "id") == F.col("_n"), "left").withColumn(out, F.coalesce("_r", label))
+        return written(rows.drop("_n", "_r"), "labelled")
+
+    def merged(frame: DataFrame, pairs: DataFrame, early: bool) -> DataFrame:
+        """``frame`` (id, words, comp, cell; null: alone) with the components that verified pairs join, and if ``early`` the cells that near ones do."""
+        pairs = written(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            return frame
+        frame = joined(frame, verify(pairs), "comp", "comp")
+        if settle is None:
+            return frame.withColumn("cell", F.col("comp"))
+        if not early:
+            return frame
+        frame = joined(frame, pairs, "cell", "whole")
+        # parts: the cells of before, and components of rows that were in none; "c" and "p" keep their names apart
+        part = F.when(F.col("cell").isNotNull(), F.concat(F.lit("c"), "cell")).otherwise(F.concat(F.lit("p"), F.coalesce("comp", "id")))
+        inside = frame.where("whole IS NOT NULL").select("id", F.col("whole").alias("cell"), part.alias("part"), F.coalesce("comp", "id").alias("comp"))
+        several = inside.groupBy("cell").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("comp").alias("least"), F.max("comp").alias("most"))
+        several = written(several.where("low <> high AND least <> most").select("cell"), "open_cells")
+        if several.isEmpty():
+            return written(frame.select("id", "words", "comp", F.col("whole").alias("cell")), "settled")
+        links, undecided = settle(written(inside.join(small(several), "cell"), "open_rows"))
+        frame = joined(frame, links, "comp", "comp").join(small(undecided.select(F.col("cell").alias("_u"))), F.col("whole") == F.col("_u"), "left")
+        return written(frame.select("id", "words", "comp", F.when(F.col("_u").isNull(), F.col("whole")).otherwise(F.col("comp")).alias("cell")), "settled")
+
+    alone = F.lit(None).cast("long")
+    labelled, told, at = points.select("id", "words", alone.alias("comp"), alone.alias("cell")), [], 0
     while at < len(families):  # rounds of ``lead`` families, then of as many as went before
         upto = min(len(families), at + (max(at, lead) or len(families)))
         scanned = scan(labelled, at, upto)
-        labelled = merged(labelled, scanned.where(F.col("kind") == _PAIR).select("a", "b"))
+        labelled = merged(labelled, scanned.where(F.col("kind") == _PAIR).select("a", "b"), at <= lead)
         told.append(scanned.where(F.col("kind") == _AGAIN).select(F.col("a").alias("key")))
         at = upto
     roots = labelled.select("id", F.coalesce("comp", "id").alias("root"))
@@ -300,12 +336,15 @@ def linked(
     if again.isEmpty():
         return roots
 
-    whole = labelled.withColumn("comp", F.coalesce("comp", "id"))
-    slim = bucketed(whole, 0, len(families)).join(small(again), "key", "left_semi")
-    several = slim.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rows = written(bucketed(whole, 0, len(families)).join(small(written(several, "several")), "key", "left_semi"), "several_rows")
+    cells = labelled.withColumn("cell", F.coalesce("cell", "id"))
+    told_rows = written(bucketed(cells, 0, len(families)).join(small(again), "key", "left_semi"), "told_rows")
+    several = told_rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    rows = told_rows.join(small(written(several, "several")), "key")
+    if rows.isEmpty():
+        return roots
     fits = F.lit(True)
     if narrow is not None:
+        rows = written(rows, "several_rows")
         known, fits = narrow(rows.select("id").distinct())
         rows = written(rows.join(small(written(known, "known")), "id"), "narrowed_rows")
     by_component = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
@@ -317,8 +356,9 @@ def linked(
     strangers = mixed.where("comp <> main").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.slot") == F.col("y.slot"))
     other = (F.col("x.comp") < F.col("y.comp")) | ((F.col("x.comp") > F.col("y.comp")) & (F.col("x.comp") == F.col("x.main")))
-    met = all_rows.alias("x").join(strangers.alias("y"), same & other & fits & _near("x", "y", radius))
-    last = merged(labelled, met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    met = all_rows.alias("x").join(strangers.alias("y"), same & other & fits & _near("x", "y", radius, wide))
+    pairs = written(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "met")
+    last = joined(labelled, verify(pairs), "comp", "comp")
     return last.select("id", F.coalesce("comp", "id").alias("root"))
 
 

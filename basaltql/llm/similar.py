@@ -5,7 +5,8 @@ here, because the bits that texts of similarity s differ in scatter about their
 widely in 64; 2 s / (1 + s) is the cosine of two sets of one size. A linked pair then leaves no block of bits
 surely alone, so families are random sets of bits, as many as keep the chance that a pair at the limit agrees in
 none of them below ``MISS``. The survivors are verified by all 256 bits and at last by the shingle sets themselves:
-links are never a guess, and components are formed of verified links only.
+links are never a guess, and components are formed of verified links only. Where bits cannot tell linked from unlinked, as in
+a large group with pairs on either side of the limit, the group's shingle sets are held against each other in blocks.
 """
 
 from __future__ import annotations
@@ -29,6 +30,12 @@ BUCKET_ROWS = 64
 #: Families that near copies are first linked in, before all are searched for what remains.
 LEAD = 8
 LEAST_BITS = 18
+#: Shingles that a block of one cell's sets holds on either side.
+BLOCK_SHINGLES = 500_000
+#: Strangers times shingles of a cell beyond which it is left to its buckets.
+CELL_COST = 10**12
+#: Rows of shingle sets in an Arrow batch.
+SET_ROWS = 512
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -84,12 +91,14 @@ def _marks(numbered: DataFrame, shingle: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
-            fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            words = pa.array([wide_fingerprint(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fps), pa.array([len(s) for s in sets], pa.int64()), words], names=["row", "key", "fp", "n", "words"]
-            )
+            fps, sizes, words = np.zeros(batch.num_rows, dtype=np.uint64), [], []
+            for i, text in enumerate(batch.column(2)):
+                hashes = shingle_set(text.as_py(), shingle)
+                fps[i] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+                sizes.append(len(hashes))
+                words.append(wide_fingerprint(hashes).view(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), pa.array(sizes, pa.int64()), pa.array(words, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "key", "fp", "n", "words"])
 
     return numbered.mapInArrow(run, "row long, key long, fp long, n long, words array<long>")
 
@@ -99,12 +108,58 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "hashes"])
+            for at in range(0, batch.num_rows, SET_ROWS):
+                part = batch.slice(at, SET_ROWS)
+                sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "hashes"])
 
     return texts.mapInArrow(run, "fp long, hashes array<long>")
 
 
+def block_links(strangers: list[tuple], members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Linked (a, b) of (id, part, comp, hashes) in ``strangers`` and ``members``: one of each stranger and other component, none within a part."""
+    ids, parts, comps = (np.array([m[i] for m in members]) for i in range(3))
+    sizes = np.array([len(m[3]) for m in members])
+    known = np.unique(np.concatenate([s[3] for s in strangers]))
+    if not len(known):
+        return []
+    hashes, owner = np.concatenate([m[3] for m in members]), np.repeat(np.arange(len(members)), sizes)
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    found = known[place] == hashes
+    place, owner, links = place[found], owner[found], []
+    for a, part, comp, own in strangers:
+        mark = np.zeros(len(known), dtype=bool)
+        mark[np.searchsorted(known, own)] = True
+        both = np.bincount(owner[mark[place]], minlength=len(members))
+        hit = np.flatnonzero((both * 100 >= (sizes + len(own) - both) * percent) & (parts != part) & (comps != comp))
+        links += [(a, int(ids[i])) for i in hit[np.unique(comps[hit], return_index=True)[1]]]
+    return links
+
+
+def _blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of ``rows`` (cell, sx, sy, side, id, part, comp, hashes): the links of each block's sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sides = None, ([], [])
+
+        def out() -> pa.RecordBatch:
+            links = block_links(*sides, percent) if sides[0] and sides[1] else []
+            a, b = (pa.array([x[i] for x in links], pa.int64()) for i in range(2))
+            return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+        for batch in batches:
+            hashes = batch.column(7)
+            for i, (cell, sx, sy, side, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:7]), strict=True)):
+                if (cell, sx, sy) != block:
+                    yield out()
+                    block, sides = (cell, sx, sy), ([], [])
+                sides[side].append((*row, np.array(hashes[i].values)))
+        yield out()
+
+    dealt = rows.repartition("cell", "sx", "sy").sortWithinPartitions("cell", "sx", "sy")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def similar_sets(points: DataFrame, numbered: DataFrame, shingle: int, percent: int, report: dict | None = None) -> DataFrame:
     """(fp, root) of ``points`` (fp, row, n, words): sets linked at a similarity of ``percent`` or more share a root."""
     known = points.select("fp", "n", "words")
@@ -136,8 +191,27 @@ def similar_sets(points: DataFrame, numbered: DataFrame, shingle: int, percent:
         most = F.least("x.s", "y.s")
         return sizes.select(F.col("fp").alias("id"), "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("s")), most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent
 
+    def settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The links that join components of a cell, found between every set and those that are not of the cell's largest part, in blocks."""
+        sized = written(rows.join(points.select(F.col("fp").alias("id"), "row", "n"), "id"), "sized")
+        by_part = sized.groupBy("cell", "part").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+        per_cell = by_part.groupBy("cell").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), (F.sum("m") - F.max_by("m", F.struct("n", "part"))).alias("m"))
+        slots = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+        per_cell = written(per_cell.select("cell", "main", (F.col("n") * F.col("m")).alias("cost"), slots(F.col("n") - F.col("most")).alias("nx"), slots(F.col("n")).alias("ny")), "cells")
+        todo = written(sized.join(small(per_cell.where(F.col("cost") <= CELL_COST)), "cell"), "todo")
+        sets = _sets(numbered.join(small(todo.select(F.col("id").alias("fp"), "row")), "row").select("fp", "text"), shingle)
+        held = todo.drop("row", "n", "cost").join(sets, F.col("id") == F.col("fp"))
+        slot = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+        side = lambda number, x, y: F.struct(x.alias("sx"), y.alias("sy"), F.lit(number).alias("side"))
+        members = F.transform(F.sequence(F.lit(0), F.col("nx") - 1), lambda x: side(1, x, slot("ny")))
+        strangers = F.transform(F.sequence(F.lit(0), F.col("ny") - 1), lambda y: side(0, slot("nx"), y))
+        dealt = held.withColumn("at", F.explode(F.when(F.col("part") == F.col("main"), members).otherwise(F.concat(members, strangers))))
+        blocks = dealt.select("cell", "at.sx", "at.sy", "at.side", "id", "part", "comp", "hashes")
+        return written(_blocks(blocks, percent), "block_links"), per_cell.where(F.col("cost") > CELL_COST).select("cell")
+
     families = bit_families(percent, points.count())
-    roots = linked(points.select(F.col("fp").alias("id"), "words"), families, radius_of(percent, 64), verify, report, WORDS, LEAD, narrow)
+    searched = points.select(F.col("fp").alias("id"), "words")
+    roots = linked(searched, families, radius_of(percent, 64), verify, report, WORDS, LEAD, narrow, settle, radius_of(percent, 128))
     return roots.select(F.col("id").alias("fp"), "root")
 
 
